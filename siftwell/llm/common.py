@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +36,25 @@ def materialise(df: DataFrame, at: str | None = None) -> DataFrame:
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return df.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+
+
+def points_at_or_below(value: Column, points: list[int]) -> Column:
+    """How many of the ascending `points` are at or below the value (0 for null), by binary search in a constant."""
+    n = 1 << max(1, len(points).bit_length())
+    held = F.from_json(F.lit(json.dumps(points)), "array<bigint>")
+    steps = F.from_json(F.lit(json.dumps([n >> k for k in range(1, n.bit_length())])), "array<int>")
+    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(held, acc + step - 1) <= value, acc + step).otherwise(acc))
+
+
+def range_parts(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, int]:
+    """Rows dealt into about equal ranges of an integer key, nulls in the first; equal keys stay together.
+
+    The bounds come from approximate percentiles of the key column alone, so that what stands above the scan isn't
+    run twice as sampling by repartitionByRange would. Returns the frame and its number of partitions.
+    """
+    if parts < 2:
+        return df.repartitionById(1, F.lit(0)), 1
+    shares = [k / parts for k in range(1, parts)]
+    got = df.select(F.percentile_approx(F.col(key), shares, max(10_000, 20 * parts)).alias("p")).first()["p"]
+    bounds = sorted(set(got or []))
+    return df.repartitionById(len(bounds) + 1, points_at_or_below(F.col(key), bounds)), len(bounds) + 1

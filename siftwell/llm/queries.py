@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siftwell.llm import sharding, url_filter
+from siftwell.llm import bpe, sharding, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_byte_bpe": bpe.op2_byte_bpe,
         "op4_bounded_ring": sharding.op4_bounded_ring,
         "op9_url_filter": url_filter.op9_url_filter,
     }

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwell.llm.common import table
+from siftwell.llm.common import points_at_or_below, table
 
 RING_BITS = 40
 CELL_ROWS = 32_768
@@ -78,10 +78,7 @@ def walk(owners: list[int], counts: list[int], capacity: list[int]) -> list[tupl
 
 def _arc(position: Column, points: list[int]) -> Column:
     """Index of the last point at or before the position, by binary search; before the first it is the last arc."""
-    n = 1 << max(1, len(points).bit_length())
-    held = F.from_json(F.lit(json.dumps(points + [1 << 62] * (n - len(points)))), "array<bigint>")
-    steps = F.from_json(F.lit(json.dumps([n >> k for k in range(1, n.bit_length())])), "array<int>")
-    below = F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(held, acc + step - 1) <= position, acc + step).otherwise(acc))
+    below = points_at_or_below(position, points)
     return F.pmod(below - 1, F.lit(len(points))).cast("int")
 
 
