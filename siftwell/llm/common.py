@@ -46,15 +46,20 @@ def points_at_or_below(value: Column, points: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(held, acc + step - 1) <= value, acc + step).otherwise(acc))
 
 
-def range_parts(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, int]:
-    """Rows dealt into about equal ranges of an integer key, nulls in the first; equal keys stay together.
+def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
+    """Ascending values that cut an integer key into at most `parts` about equal ranges.
 
-    The bounds come from approximate percentiles of the key column alone, so that what stands above the scan isn't
-    run twice as sampling by repartitionByRange would. Returns the frame and its number of partitions.
+    They come from approximate percentiles of the key column alone: sampling by repartitionByRange would run all that
+    stands between the scan and the exchange twice.
     """
     if parts < 2:
-        return df.repartitionById(1, F.lit(0)), 1
+        return []
     shares = [k / parts for k in range(1, parts)]
     got = df.select(F.percentile_approx(F.col(key), shares, max(10_000, 20 * parts)).alias("p")).first()["p"]
-    bounds = sorted(set(got or []))
-    return df.repartitionById(len(bounds) + 1, points_at_or_below(F.col(key), bounds)), len(bounds) + 1
+    return sorted(set(got or []))
+
+
+def deal_by_range(df: DataFrame, key: str, bounds: list[int]) -> DataFrame:
+    """Partition k holds the rows between bound k - 1 (included) and bound k; nulls are in the first."""
+    part = points_at_or_below(F.col(key), bounds) if bounds else F.lit(0)
+    return df.repartitionById(len(bounds) + 1, part)
