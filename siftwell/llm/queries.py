@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from siftwell.llm import bpe, jaccard_join, sharding, token_files, toxicity, url_filter
+from siftwell.llm import bpe, decontaminate, jaccard_join, ppm, sharding, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.op2_byte_bpe,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bounded_ring": sharding.op4_bounded_ring,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_adaptive_prefix_join": jaccard_join.op7_adaptive_prefix_join,
         "op8_elias_fano_tokens": token_files.op8_elias_fano_tokens,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_ppm": ppm.op10_ppm,
     }
 
 
