@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.llm import bpe, decontaminate, jaccard_join, ppm, sharding, token_files, toxicity, url_filter
+from siftwell.llm import bpe, decontaminate, fingerprint, jaccard_join, ppm, sharding, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bounded_ring": sharding.op4_bounded_ring,
+        "op5_improbable_features": fingerprint.op5_improbable_features,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_adaptive_prefix_join": jaccard_join.op7_adaptive_prefix_join,
         "op8_elias_fano_tokens": token_files.op8_elias_fano_tokens,
