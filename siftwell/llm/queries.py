@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siftwell.llm import bpe, decontaminate, fingerprint, jaccard_join, ppm, sharding, token_files, toxicity, url_filter
+from siftwell.llm import bpe, decontaminate, fingerprint, jaccard_join, ppm, quotes, sharding, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_quote_linking": quotes.op1_quote_linking,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bounded_ring": sharding.op4_bounded_ring,
