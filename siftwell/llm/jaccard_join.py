@@ -10,10 +10,9 @@ sets are compared.
 1. frequencies: shingle codes are counted over all documents (packed by code range); the HOT most frequent are shared.
 2. prefixes: each class emits its prefix packed by shingle range; ranges keep the shingles that two classes share.
 3. candidates: for components a class needs no comparison with one that it is already connected to. So each shingle's
-   classes are first compared with one pivot, then, where they aren't all connected, with a pivot drawn for each
-   shingle, then every pair of a shingle's classes that is still unconnected is counted, class by class, from
+   classes are first compared with one pivot, then, where they aren't all connected, with another, then every pair of a shingle's classes that is still unconnected is counted, class by class, from
    packed lists. No step lists the pairs of a group whose members are connected.
-4. verification: exact, on the sets of the classes that have candidates.
+4. verification: exact, on the sets of the classes that stand in a candidate pair.
 
 Everything is written to the shared folder between the steps. Null and empty texts, or texts without words, have the
 empty set, which links with nothing. Equal doc_ids are separate rows; a null doc_id takes part, and a component's id is
@@ -34,11 +33,14 @@ from siftwell.llm.common import materialise, table, text_bytes
 from siftwell.llm.components import components
 from siftwell.llm.shingles import shingle_set
 
-#: Frequent shingles whose order is known exactly: 16 MB at most in each worker.
-HOT = 1_000_000
+#: Frequent shingles whose order is known exactly: 8 MB at most in each worker.
+HOT = 500_000
 #: Shingles counted together in a task, and bytes of text a range of shingles stands for.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 RANGE_BYTES = 4 << 20
+#: Other classes that a shingle outside the frequent ones is expected in, and comparing two sets of n shingles against
+#: emitting as many; both only steer the length of prefixes.
+CHANCE, COMPARE = 0.3, 0.125
 LEVELS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 _POSTING = np.dtype([("token", "<u8"), ("kid", "<i8"), ("n", "<u4"), ("l", "<u4")])
 
@@ -165,7 +167,7 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, levels: np.ndarray, cod
         at = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
         weight = np.where(hot[at] == codes, levels[at], 0).astype(np.int64)
     order = np.lexsort((s, weight)) if weight.any() else np.arange(n)
-    cost = np.cumsum(np.exp2(weight[order]) - (weight[order] == 0))
+    cost = np.cumsum(np.where(weight[order] > 0, np.exp2(weight[order]), CHANCE)) * (COMPARE * n)
     best, chosen = None, 1
     for level in LEVELS:
         if level > max(1, n // 10) or base + level > n:
@@ -278,22 +280,20 @@ def _counted(pairs: DataFrame, percent: int) -> DataFrame:
 def _rest(open_rows: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different roots that share enough prefix tokens; rows (token, kid, n, l, root).
 
-    For each token every class outside the token's largest component gets the packed list of the classes of other
-    components; a class's lists are then counted together.
+    For each token a class gets the packed list of the classes of other components and greater ids; a class's lists
+    are then counted together.
     """
 
     def lists(group: pa.Table) -> pa.Table:
         c = {x: group.column(x).to_numpy() for x in ("kid", "n", "l", "root", "token")}
-        out = {"a": [], "an": [], "al": [], "others": []}
+        out = {"a": [], "others": []}
         order = np.argsort(c["token"], kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(c["token"][order]) != 0])
         for part in np.split(order, cuts[1:]):
             kid, n, level, root = (c[x][part] for x in ("kid", "n", "l", "root"))
-            roots, size = np.unique(root, return_counts=True)
-            major = roots[size.argmax()]
-            for i in np.flatnonzero(root != major):
-                # of two classes outside the largest component the one with the lesser id lists the other
-                other = (root != root[i]) & ((root == major) | (kid > kid[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            for i in range(len(kid)):
+                # the class of the lesser id lists the pair, for whatever token: so its shared tokens meet
+                other = (root != root[i]) & (kid > kid[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
                 if other.any():
                     packed = np.stack([kid[other], np.minimum(level[other], level[i]).astype(np.int64)])
                     out["a"].append(int(kid[i]))
@@ -322,30 +322,37 @@ def link_classes(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
     sig = first.filter("range is null").select("doc_id", "n", "kid")
     frequent = hot_codes(first.filter("range is not null"), code_bits, range_bits, hot)
     alive = materialise(postings(docs, k, percent, text, frequent, code_bits, range_bits))
-    held = materialise(sets(docs, alive.select("kid").distinct(), sig, k, key, text))
 
-    pairs = materialise(_counted(alive.filter("kid <> pivot"), percent))
-    links = materialise(verify(pairs, held, percent))
+    def checked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs, written, and those that link."""
+        pairs = materialise(pairs)
+        held = materialise(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("kid")).distinct(), sig, k, key, text))
+        return pairs, materialise(verify(pairs, held, percent))
+
+    tested, links = checked(_counted(alive.filter("kid <> pivot"), percent))
     # a class linked to the pivot takes it as its label
     label = links.groupBy(F.col("b").alias("kid")).agg(F.min("a").alias("root"))
     rows = alive.select("token", "kid", "n", "l").join(label, "kid", "left").withColumn("root", F.coalesce("root", "kid"))
     rows = materialise(_open(rows))
     if rows.limit(1).count():
-        drawn = rows.groupBy("token").agg(F.min_by(F.struct(F.col("kid").alias("pivot"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("root").alias("proot")), F.xxhash64("token", "kid")).alias("p"))
+        # another pivot, the same for most shingles of a group
+        last = F.xxhash64("kid")
+        drawn = rows.groupBy("token").agg(F.min_by(F.struct(F.col("kid").alias("pivot"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("root").alias("proot")), last).alias("p"))
         tried = rows.join(drawn, "token").select("kid", "n", "l", "root", "p.*").filter("root <> proot")
-        more = _counted(tried.withColumn("l", F.lit(1)), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialise(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        links = materialise(links.union(verify(more, held, percent)))
+        more, found = checked(_ordered(_counted(tried, percent)).join(_ordered(tested), ["a", "b"], "left_anti"))
+        tested, links = tested.select("a", "b").union(more), links.union(found)
         joined = components(links).withColumnRenamed("node", "kid")
         rows = materialise(_open(rows.drop("root").join(joined, "kid", "left").withColumn("root", F.coalesce("root", "kid"))))
         if rows.limit(1).count():
-            tested = pairs.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            last = _rest(rows, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            last = materialise(last.distinct().join(tested, ["a", "b"], "left_anti"))
-            links = materialise(links.union(verify(last, held, percent)))
+            _, found = checked(_ordered(_rest(rows, percent)).join(_ordered(tested), ["a", "b"], "left_anti"))
+            links = links.union(found)
     return sig, components(links)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """Rows of the tokens whose classes aren't all under one root."""
     several = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("token")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO = 400_000
+MEMO = 200_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
