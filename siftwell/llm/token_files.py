@@ -38,16 +38,26 @@ MAGIC = b"SWTK0001"
 FILE_IDS = 8_000_000
 #: Bytes of text whose ids go to one range.
 RANGE_BYTES = 48 << 20
-MEMO = 600_000
-#: Characters of text that are encoded at once.
-GROUP = 2_000_000
+MEMO = 300_000
+#: Characters of text that are encoded at once, and words of letters that are given to the library as one text.
+GROUP = 1_000_000
+TOGETHER = 4_000
+
+
+def _letters(word: bytes) -> bool:
+    """Only letters, of scripts whose case and composition are settled."""
+    s = word.decode()
+    return s.isalpha() and max(s) < "\u0250"
+
+
 
 
 class WordTokenizer:
-    """A tokenizer of the tokenizers library that drops white space, so that it can be asked word by word.
+    """A tokenizer of the tokenizers library that lower-cases and drops white space, so that it can be asked by word.
 
-    What the library gives for a word is remembered, for at most MEMO words; new words go to it in batches. ASCII white
-    space is all that words are cut at here; the library handles the rest inside them.
+    What the library gives for a word is remembered, for at most MEMO words; new words go to it in batches. Words are
+    cut at ASCII white space, A-Z are lower-cased and one mark after a word of letters is asked for by itself; all else
+    inside words is the library's.
     """
 
     def __init__(self, spec: str, memo: int = MEMO):
@@ -57,6 +67,9 @@ class WordTokenizer:
         self.own = Tokenizer.from_str(spec)
         self.own.encode_special_tokens = True
         self.width = 2 if self.own.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.own.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -66,13 +79,36 @@ class WordTokenizer:
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
+        new = self.new
         for w in words & self.old.keys():
-            self.new[w] = self.old[w]
-        ask = list(words - self.new.keys())
+            new[w] = self.old[w]
+        ask = words - new.keys()
+        parts = {w: w[:-1] for w in ask if w[-1] in b".,;:!?" and _letters(w[:-1])}
+        alone = (ask - parts.keys()) | (set(parts.values()) | {w[-1:] for w in parts}) - new.keys()
+        plain = [w for w in alone if _letters(w)]
+        for k in range(0, len(plain), TOGETHER):
+            self._ask_together(plain[k : k + TOGETHER])
+        self._ask_each(list(alone - set(plain)))
+        for w, stem in parts.items():
+            new[w] = new[stem] + new[w[-1:]]
+        return new
+
+    def _ask_each(self, words: list[bytes]) -> None:
         kind = f"<u{self.width}"
-        for w, got in zip(ask, self.own.encode_batch_fast([w.decode() for w in ask], add_special_tokens=False), strict=True):
+        for w, got in zip(words, self.own.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self.new[w] = np.array(got.ids, kind).tobytes()
-        return self.new
+
+    def _ask_together(self, words: list[bytes]) -> None:
+        """Words of letters are one pre-token each, whose last token alone is one that ends a word."""
+        (got,) = self.own.encode_batch_fast([" ".join(w.decode() for w in words)], add_special_tokens=False)
+        ids = np.array(got.ids, f"<u{self.width}")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._ask_each(words)
+        raw, start = ids.tobytes(), 0
+        for w, stop in zip(words, (stops * self.width).tolist(), strict=True):
+            self.new[w] = raw[start:stop]
+            start = stop
 
     def encode(self, texts: list[str | None], end: int | None = None) -> Iterator[bytes]:
         """Ids of each text, `width` bytes each, little-endian; `end` is appended."""
@@ -83,7 +119,7 @@ class WordTokenizer:
             while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= GROUP):
                 chars += len(texts[stop] or "")
                 stop += 1
-            split = [(t or "").encode().split() for t in texts[start:stop]]
+            split = [(t or "").encode().lower().split() for t in texts[start:stop]]
             held = self._learn({w for words in split for w in words})
             for words in split:
                 yield b"".join(map(held.__getitem__, words)) + close
