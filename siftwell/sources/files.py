@@ -21,13 +21,6 @@ def head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
         at = jvm.org.apache.hadoop.fs.Path(inside[0])
     stream = fs.open(at)
     try:
-        buffer = spark.sparkContext._gateway.new_array(jvm.byte, min(size, max(1, fs.getFileStatus(at).getLen())))
-        got = 0
-        while got < len(buffer):
-            n = stream.read(buffer, got, len(buffer) - got)
-            if n <= 0:
-                break
-            got += n
-        return bytes(b & 255 for b in buffer)[:got]
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, fs.getFileStatus(at).getLen())))
     finally:
         stream.close()
