@@ -43,7 +43,10 @@ def points_at_or_below(value: Column, points: list[int]) -> Column:
     n = 1 << max(1, len(points).bit_length())
     held = F.from_json(F.lit(json.dumps(points)), "array<bigint>")
     steps = F.from_json(F.lit(json.dumps([n >> k for k in range(1, n.bit_length())])), "array<int>")
-    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(held, acc + step - 1) <= value, acc + step).otherwise(acc))
+    # the value goes through the accumulator: filters inferred from a column captured by a lambda can lose that column
+    start = F.struct(value.cast("bigint").alias("v"), F.lit(0).alias("at"))
+    step_on = lambda acc, step: F.struct(acc["v"].alias("v"), F.when(F.get(held, acc["at"] + step - 1) <= acc["v"], acc["at"] + step).otherwise(acc["at"]).alias("at"))
+    return F.aggregate(steps, start, step_on, lambda acc: acc["at"])
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
