@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftwell.llm.common import table
 from siftwell.llm.shingles import grams, mix, word_hashes, words
@@ -38,6 +39,8 @@ ITEM_BYTES = 8 << 20
 STRETCH = 8_192
 _EDGE = b".,;:!?\"'()[]{}<>*_-"
 _MASKS = np.array([sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(16), r)], np.uint16)
+#: A block is compared with so many values of an index at most; of a larger index its neighbours are looked up.
+SCAN = len(_MASKS)
 _MEMO = 400_000
 
 
@@ -124,7 +127,7 @@ class Matcher:
         rows, cols = [], []
         for b, (values, order) in enumerate(index):
             asked = prints[:, b]
-            if len(values) <= len(_MASKS):  # fewer than the values to probe: compare the block with each
+            if len(values) <= SCAN:
                 r, c = np.nonzero(np.bitwise_count(asked[:, None] ^ values[None, :]) <= RADIUS // BLOCKS)
                 rows.append(r)
                 cols.append(order[c])
@@ -201,7 +204,7 @@ def matchers(items: DataFrame, k: int, percent: int, item: str, text: str, item_
 def contaminations(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row (doc_id, item_id, similarity, start_word, n_words) for each document and item that it holds."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("item_id", items.schema[item].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.IntegerType())])
-    spark = docs.sparkSession
+    spark, typed = docs.sparkSession, to_arrow_schema(schema)
 
     def one(matcher: Matcher) -> DataFrame:
         shared = spark.sparkContext.broadcast(matcher)
@@ -214,7 +217,7 @@ def contaminations(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
                         for c, v in zip(out, (d.as_py(), shared.value.names[i], similarity, start, n), strict=True):
                             out[c].append(v)
                 if out["doc_id"]:
-                    yield pa.RecordBatch.from_pydict(out)
+                    yield pa.RecordBatch.from_pydict(out, schema=typed)
 
         return docs.select(key, text).mapInArrow(run, schema)
 
