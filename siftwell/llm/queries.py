@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_quote_linking": quotes.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}

@@ -113,3 +113,31 @@ def in_order(linked: DataFrame, parts: int | None = None) -> DataFrame:
 
 def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS i FROM m),
+v AS (SELECT id, i, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS body
+      FROM (SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS mark FROM l)),
+w AS (SELECT *, CASE WHEN lag(level) OVER p = level AND trim(lag(body) OVER p) <> '' AND trim(body) <> '' THEN 0 ELSE 1 END AS new,
+        coalesce(lead(level) OVER p, 0) AS following FROM v WINDOW p AS (PARTITION BY id ORDER BY i)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM w),
+runs AS (SELECT id, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS text FROM r GROUP BY id, run),
+said AS (SELECT id, string_agg(body, chr(10) ORDER BY i) AS text FROM w
+         WHERE level = 0 AND NOT (following > 0 AND regexp_matches(body, '(?i)^[^\n>]{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$')) GROUP BY id),
+units AS (SELECT DISTINCT id, level, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS text FROM
+          (SELECT id, level, text FROM runs UNION ALL SELECT id, level, body FROM v UNION ALL SELECT id, 0, text FROM said)),
+known AS (SELECT u.*, conv_id, turn FROM units u JOIN m USING (id) WHERE length(u.text) >= 12 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+source AS (SELECT conv_id, text, min(turn) AS source FROM known WHERE level = 0 GROUP BY conv_id, text),
+votes AS (SELECT k.conv_id, k.turn, k.level, source, sum(length(k.text)) AS chars FROM known k JOIN source s ON k.conv_id = s.conv_id AND k.text = s.text AND source < k.turn
+          WHERE k.level > 0 GROUP BY ALL),
+parent AS (SELECT conv_id, turn, arg_max(source, {'a': -level, 'b': chars, 'c': source}) AS parent FROM votes GROUP BY conv_id, turn),
+chain AS (SELECT conv_id, turn, parent, parent AS root, 1 AS depth FROM parent
+          UNION ALL SELECT c.conv_id, c.turn, c.parent, p.parent, c.depth + 1 FROM chain c JOIN parent p ON c.conv_id = p.conv_id AND c.root = p.turn),
+top AS (SELECT conv_id, turn, parent, arg_max(root, depth) AS root, max(depth) AS depth FROM chain GROUP BY conv_id, turn, parent)
+SELECT m.conv_id, coalesce(t.root, m.turn) AS thread, coalesce(t.depth, 0) AS depth, m.turn, t.parent, m.role,
+       coalesce(trim(regexp_replace(regexp_replace(regexp_replace(s.text, '^\s+', ''), '\s+$', ''), '\n{3,}', chr(10) || chr(10), 'g')), '') AS text,
+       (SELECT count(*) FROM runs WHERE runs.id = m.id AND level > 0) AS n_quotes
+FROM m LEFT JOIN said s USING (id) LEFT JOIN top t ON m.conv_id = t.conv_id AND m.turn = t.turn
+"""

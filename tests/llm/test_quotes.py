@@ -41,3 +41,17 @@ def test_empty_table_repeats_and_clashing_columns(spark):
     df = chats(spark, rows).selectExpr("*", "1 as units", "2 as root", "'x' as parent")
     out = quotes.link(df)
     assert out.count() == 3 and out.filter("turn = 1").first()["parent"] == 0
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    rows = [(1, 0, "a", "The first message says this.\n\nAnd a second paragraph here."), (1, 1, "b", "Ann wrote:\n> The first  message SAYS this.\nI disagree with that one."), (1, 2, "c", " padded\n\n\n\ntext "), (1, 3, "a", "> > The first message says this.\n> I disagree with that one.\n\nWhy do you?"), (1, 4, "d", ">> And a second paragraph here.\r\n>> The first message says this.\nyes"), (2, 0, "x", None), (2, 1, "y", "> only a quotation of nothing"), (None, 0, "z", "no conversation here")]
+    df = chats(spark, rows)
+    conversations = df.toPandas()  # noqa: F841  DuckDB reads it by name
+    want = duckdb.sql(quotes.ORACLE_SQL)
+    key = lambda r: str(r)
+    names = sorted(want.columns)
+    plain = lambda x: None if x is None or x != x else int(x) if isinstance(x, float) else x
+    theirs = sorted(([plain(r[want.columns.index(c)]) for c in names] for r in want.fetchall()), key=key)
+    assert sorted(([plain(r[c]) for c in names] for r in quotes.link(df).collect()), key=key) == theirs
