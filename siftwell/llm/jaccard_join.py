@@ -10,8 +10,10 @@ sets are compared.
 1. frequencies: shingle codes are counted over all documents (packed by code range); the HOT most frequent are shared.
 2. prefixes: each class emits its prefix packed by shingle range; ranges keep the shingles that two classes share.
 3. candidates: for components a class needs no comparison with one that it is already connected to. So each shingle's
-   classes are first compared with one pivot, then, where they aren't all connected, with another, then every pair of a shingle's classes that is still unconnected is counted, class by class, from
-   packed lists. No step lists the pairs of a group whose members are connected.
+   classes are first compared with one pivot, then, where they aren't all connected, with another. Of what is still
+   unconnected the pairs of shingles with few classes are counted, class by class, from packed lists; shingles with more
+   than SMALL classes form clusters that are compared set by set, a pair of blocks a task. No step makes a row for each
+   pair of a group.
 4. verification: exact, on the sets of the classes that stand in a candidate pair.
 
 Everything is written to the shared folder between the steps. Null and empty texts, or texts without words, have the
@@ -41,6 +43,8 @@ RANGE_BYTES = 4 << 20
 #: Other classes that a shingle outside the frequent ones is expected in, and comparing two sets of n shingles against
 #: emitting as many; both only steer the length of prefixes.
 CHANCE, COMPARE = 0.3, 0.125
+#: Classes that share a prefix shingle beyond which they are compared by blocks of so many classes.
+SMALL, BLOCK = 64, 256
 LEVELS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 _POSTING = np.dtype([("token", "<u8"), ("kid", "<i8"), ("n", "<u4"), ("l", "<u4")])
 
@@ -344,8 +348,15 @@ def link_classes(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
         joined = components(links).withColumnRenamed("node", "kid")
         rows = materialise(_open(rows.drop("root").join(joined, "kid", "left").withColumn("root", F.coalesce("root", "kid"))))
         if rows.limit(1).count():
-            _, found = checked(_ordered(_rest(rows, percent)).join(_ordered(tested), ["a", "b"], "left_anti"))
+            sizes = materialise(rows.groupBy("token").agg(F.count("*").alias("m"), F.min("kid").alias("cluster")))
+            few = rows.join(sizes.filter(F.col("m") <= SMALL).select("token"), "token", "left_semi")
+            _, found = checked(_ordered(_rest(few, percent)).join(_ordered(tested), ["a", "b"], "left_anti"))
             links = links.union(found)
+            many = rows.select("token", "kid").join(sizes.filter(F.col("m") > SMALL), "token").select("cluster", "kid").distinct()
+            many = materialise(many)
+            if many.limit(1).count():
+                held = sets(docs, many.select("kid").distinct(), sig, k, key, text)
+                links = links.union(materialise(_blocks(many, held, percent)))
     return sig, components(links)
 
 
@@ -353,6 +364,50 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _blocks(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links within clusters of classes that share a frequent prefix shingle; members: (cluster, kid).
+
+    A cluster is cut into blocks of about BLOCK classes, and each pair of blocks is a task of its own: no task grows with
+    the cluster, and no row is made for a pair that doesn't link. Of a task's links those that connect are returned.
+    """
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("kid"), F.col("blocks")).cast("int"))
+    sent = own.select("cluster", "kid", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    sent = sent.select("cluster", "kid", "i", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        kids, side = group.column("kid").to_pylist(), group.column("i").to_numpy()
+        held = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        right = np.flatnonzero(side == q)
+        size = np.array([len(held[x]) for x in right])
+        tokens = np.concatenate([held[x] for x in right]) if len(right) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(right)), size)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        root = list(range(len(kids)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for x in np.flatnonzero(side == p) if len(right) else ():
+            lo, hi = np.searchsorted(tokens, held[x], "left"), np.searchsorted(tokens, held[x], "right")
+            count = hi - lo
+            places = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
+            both = np.bincount(owner[places], minlength=len(right))
+            for y in right[100 * both >= percent * (len(held[x]) + size - both)]:
+                if find(int(x)) != find(int(y)):
+                    root[find(int(x))] = find(int(y))
+                    a.append(kids[x])
+                    b.append(kids[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sent.join(held, "kid").groupBy("cluster", "p", "q").applyInArrow(compare, "a bigint, b bigint")
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """Rows of the tokens whose classes aren't all under one root."""
     several = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("token")

@@ -54,8 +54,10 @@ def corpus(seed):
     return [(i * 3, t) for i, t in enumerate(rows)] + [(None, rows[0]), (None, "nobody else says this at all"), (9, rows[5])]
 
 
-@pytest.mark.parametrize(("k", "percent", "hot"), [(4, 85, 500_000), (5, 80, 20), (2, 50, 500_000)])
-def test_equals_all_pairs(spark, k, percent, hot):
+@pytest.mark.parametrize(("k", "percent", "hot", "small"), [(4, 85, 500_000, 64), (5, 80, 20, 5), (2, 50, 500_000, 3), (4, 85, 500_000, 2)])
+def test_equals_all_pairs(spark, monkeypatch, k, percent, hot, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 256 if small == 64 else 8)
     rows = corpus(k)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as kid", "'x' as n").repartition(3)
     got = jaccard_join.near_duplicates(df, k, percent, hot=hot).collect()
