@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.llm import elias_fano
-from siftwell.llm.common import deal_by_range, range_bounds, table, text_bytes, work_dir
+from siftwell.llm.common import deal_by_range, range_bounds, small_batches, table, text_bytes, work_dir
 
 MAGIC = b"SWTK0001"
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 #: Bytes of text whose ids go to one range.
 RANGE_BYTES = 48 << 20
-MEMO = 300_000
+MEMO = 200_000
 #: Characters of text that are encoded at once, and words of letters that are given to the library as one text.
-GROUP = 1_000_000
+GROUP = 500_000
 TOGETHER = 4_000
 
 
@@ -222,13 +222,14 @@ def write(tokens: DataFrame, folder: str, width: int, bounds: list[int], key: st
         if held:
             yield put()
 
-    ordered.mapInArrow(run, "file string, part int, number int, documents bigint, ids bigint").write.parquet(f"{folder}/manifest")
+    with small_batches(tokens.sparkSession, 500):
+        ordered.mapInArrow(run, "file string, part int, number int, documents bigint, ids bigint").write.parquet(f"{folder}/manifest")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Per document doc_id, start (ids of all documents before it), n_tokens and ids (unsigned 32-bit)."""
     manifest = spark.read.parquet(f"{folder}/manifest")
-    # one row a file, about 16 MB of ids each
+    # one row a file, about 8 MB of ids each
     before = manifest.select("file", (F.sum("ids").over(W.orderBy("part", "number")) - F.col("ids")).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
 
@@ -239,8 +240,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 ends = own.ends.all()
                 docs = [None] * own.head["nulls"] + own.doc_ids.all().tolist()
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                for k in range(0, len(docs), 1000):
-                    ids = [own.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[k : k + 1000], ends[k : k + 1000], strict=True)]
+                for k in range(0, len(docs), 250):
+                    ids = [own.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[k : k + 250], ends[k : k + 250], strict=True)]
                     n = len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * n, pa.string()), pa.array(docs[k : k + n], pa.int64()), pa.array(starts[k : k + n]), pa.array((ends - starts)[k : k + n]), pa.array(ids, pa.binary())], ["file", "doc_id", "within", "n_tokens", "ids"])
 
