@@ -87,6 +87,41 @@ class _Counts:
         self.size = 0
 
 
+class _Places:
+    """Codes of documents, kept as distinct codes and places among them, a stretch at a time."""
+
+    def __init__(self):
+        self.held: list[tuple[int, np.ndarray]] = []
+        self.size = 0
+        self.stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, doc: int, codes: np.ndarray) -> None:
+        self.held.append((doc, codes))
+        self.size += len(codes)
+        if self.size >= STRETCH:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            distinct, places = np.unique(np.concatenate([c for _, c in self.held]), return_inverse=True)
+            starts = np.cumsum([0, *(len(c) for _, c in self.held[:-1])])
+            self.stretches.append((distinct, places.astype(np.int32), np.array([d for d, _ in self.held]), starts))
+        self.held, self.size = [], 0
+
+    def close(self) -> np.ndarray:
+        """All distinct codes, ascending."""
+        self._flush()
+        self.codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s[0] for s in self.stretches)]))
+        return self.codes
+
+    def sums(self, values: np.ndarray, docs: int) -> np.ndarray:
+        """For each document the sum of its codes' values; values: one for each of the distinct codes."""
+        out = np.zeros(docs)
+        for distinct, places, doc, starts in self.stretches:
+            np.add.at(out, doc, np.add.reduceat(values[np.searchsorted(self.codes, distinct)][places], starts))
+        return out
+
+
 def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
@@ -248,26 +283,27 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     n_all, v_all = totals["n"] or 0, totals["v"] or 0
 
     def add_up(group: pa.Table, got: pa.Table) -> pa.Table:
-        grams, tokens = gather(group, "__text")
         sent = {(k, r): (a, m) for k, r, a, m in zip(got.column("kind").to_pylist(), got.column("range").to_pylist(), got.column("answer").to_pylist(), got.column("m").to_pylist(), strict=True)}
-        values = {}
-        for kind, held, as_ in (("gram", grams, "<f4"), ("word", tokens, "<u8")):
-            values[kind] = out = np.zeros(len(held.codes))
-            for r, places in split(held.codes, kind, ranges):
+
+        def values_of(kind: str, codes: np.ndarray, as_: str) -> np.ndarray:
+            out = np.zeros(len(codes))
+            for r, places in split(codes, kind, ranges):
                 out[places] = _unzip(*sent[kind, r], as_)
-        known = values["word"] > 0
-        gain = np.log10(values["word"] + 1)
-        rows: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
-        for value in group.column("__text"):
-            at = np.searchsorted(tokens.codes, tokens_of(value.as_py()))
+            return out
+
+        n = len(group)
+        grams, tokens = _Places(), _Places()
+        for i, value in enumerate(group.column("__text")):
             sym = symbols(value.as_py())
-            total = sum(float(values["gram"][np.searchsorted(grams.codes, codes_of(sym[a : a + ORDER + STRETCH]).view(np.uint64))].sum()) for a in range(0, len(sym) - ORDER, STRETCH))
-            rows["n_tokens"].append(len(at))
-            rows["n_known"].append(int(known[at].sum()))
-            rows["base_score"].append(float(gain[at].sum() - len(at) * np.log10(n_all + v_all + 1)))
-            rows["score"].append(total)
-        n = len(rows["score"])
-        return pa.table({"doc_id": group.column("doc_id"), "n_tokens": pa.array(rows["n_tokens"], pa.int64()), "n_known": pa.array(rows["n_known"], pa.int64()), "train_tokens": pa.array([n_all] * n, pa.int64()), "base_score": pa.array(rows["base_score"], pa.float64()), "score": pa.array(rows["score"], pa.float64())})
+            for a in range(0, len(sym) - ORDER, STRETCH):
+                grams.add(i, codes_of(sym[a : a + ORDER + STRETCH]).view(np.uint64))
+            tokens.add(i, tokens_of(value.as_py()))
+        counts = values_of("word", tokens.close(), "<u8")
+        n_tokens = tokens.sums(np.ones(len(counts)), n).astype(np.int64)
+        base = tokens.sums(np.log10(counts + 1), n) - n_tokens * np.log10(n_all + v_all + 1)
+        known = tokens.sums((counts > 0).astype(float), n).astype(np.int64)
+        total = grams.sums(values_of("gram", grams.close(), "<f4"), n)
+        return pa.table({"doc_id": group.column("doc_id"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(known), "train_tokens": pa.array([n_all] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(total)})
 
     kind = docs.schema[key].dataType.simpleString()
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
