@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-An item of w words is compared with the windows of w words of every document. Features are shingles of k words (all of
+An item of w words is compared with the windows of w words of every document, and with the whole of a document that has
+fewer words. Features are shingles of k words (all of
 an item's words where it has fewer), weighted by how rare they are among the items. A window's 128-bit SimHash is looked
 up in the index of the items of its size: fingerprints are cut into BLOCKS blocks, and two within RADIUS bits differ by
 at most RADIUS // BLOCKS in some block, so probing each block's values within that distance finds all of them. What the
@@ -151,8 +152,6 @@ class Matcher:
         by_k: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}
         for w, (_, _, _, least) in self.sizes.items():
             kk = min(self.k, w)
-            if len(h) < w:
-                continue
             if kk not in by_k:
                 g = grams(h, kk)
                 hit = self.hits(g)
@@ -160,7 +159,8 @@ class Matcher:
             g, sums = by_k[kk]
             if sums is None:
                 continue
-            span = w - kk + 1
+            size = min(w, len(h))
+            span = size - kk + 1
             starts = np.flatnonzero(100 * (sums[span:] - sums[:-span]) >= self.percent * least)
             for chunk in _chunks(starts, STRETCH):
                 a, b = chunk[0], chunk[-1] + span
@@ -172,7 +172,7 @@ class Matcher:
                     both = sum(self.weights[x] for x in window & self.sets[i])
                     union = self.mass[i] + sum(self.weights.get(x, self.rare) for x in window) - both
                     if 100 * both >= self.percent * union and (i not in best or both / union > best[i][0]):
-                        best[int(i)] = (both / union, s, w)
+                        best[int(i)] = (both / union, s, size)
         return best
 
 

@@ -147,3 +147,21 @@ def test_contaminations_equal_all_windows(spark, monkeypatch, probe):
         left = decontaminate.drop_contaminated(df, bench)
         assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
         assert decontaminate.contaminations(df, bench.limit(0)).count() == 0 and decontaminate.contaminations(df.limit(0), bench).count() == 0
+
+
+def test_document_with_fewer_words_than_the_item(spark):
+    items = [(1, " ".join(f"a{i}" for i in range(50))), (2, " ".join(f"b{i}" for i in range(50, 110))), (3, "c d e f g h")]
+    own = {i: t.split() for i, t in items}
+    docs = [(1, " ".join(own[1][:49])), (2, " ".join(own[1][3:])), (3, " ".join(own[2][:20] + own[2][21:])), (4, " ".join(own[2][:30])), (5, "c d e f g"), (6, "c d e f"), (7, " ".join(own[1]))]
+
+    def similarity(x, y):
+        grams = lambda z: {tuple(z[i : i + 5]) for i in range(len(z) - 4)}
+        return len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+
+    want = {(d, i): round(s, 9) for d, t in docs for i in own if (s := similarity(t.split(), own[i])) >= 0.8}
+    assert set(want) == {(1, 1), (2, 1), (3, 2), (7, 1)}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminations(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in rows} == want
+    assert {(r["doc_id"], r["start_word"], r["n_words"]) for r in rows} == {(1, 0, 49), (2, 0, 47), (3, 0, 59), (7, 0, 50)}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()} == {4, 5, 6}
