@@ -7,6 +7,9 @@ up in the index of the items of its size: fingerprints are cut into BLOCKS block
 at most RADIUS // BLOCKS in some block, so probing each block's values within that distance finds all of them. What the
 index returns within RADIUS is verified by the exact weighted Jaccard similarity of the two shingle sets.
 
+Weights come from all items, whatever block an item is in: shingles of two items at least are counted in one job before
+the blocks are made and go with each block; a shingle of one item weighs as much as one of none.
+
 Windows whose shingles could not reach the threshold with any item of their size, even if all that they share with
 the items were one item's, get no fingerprint; that bound is exact, so nothing is lost by it.
 
@@ -63,6 +66,11 @@ def hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_BARE.__getitem__, own), np.uint64, len(own))
 
 
+def item_grams(h: np.ndarray, k: int) -> np.ndarray:
+    """An item's shingles: of k words, or of all its words where it has fewer."""
+    return grams(h, min(k, len(h))) if len(h) else np.zeros(0, np.uint64)
+
+
 def _signs(g: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted +1 and -1 for the 128 bits of each shingle."""
     both = np.stack([g, mix(g ^ np.uint64(0x5851F42D4C957F2D))], axis=1).astype("<u8")
@@ -78,19 +86,31 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 class Matcher:
     """The items, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[object, str | None]], k: int = 5, percent: int = 80):
+    def __init__(self, items: list[tuple[object, str | None]], k: int = 5, percent: int = 80, counted: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """counted: of the whole benchmark the number of items, and the shingles of two items at least, ascending, with
+        their numbers of items. Without it `items` are the whole benchmark."""
         self.k, self.percent = k, percent
         self.names = [name for name, _ in items]
         held = [hashes(text) for _, text in items]
         seen: Counter = Counter()
         own = []
         for h in held:
-            g = grams(h, min(k, len(h))) if len(h) else np.zeros(0, np.uint64)
+            g = item_grams(h, k)
             own.append(g)
             seen.update(set(g.tolist()))
         total = len(items)
+        if counted:
+            total, shared, counts = counted
+            among = dict(zip(shared.tolist(), counts.tolist(), strict=True))
+            seen = Counter({g: among.pop(g, 1) for g in seen})
+        else:
+            among = {}
         self.rare = round(1024 * math.log(1 + total))
-        self.weights = {g: round(1024 * math.log(1 + total / n)) for g, n in seen.items()}
+        weight = lambda n: round(1024 * math.log(1 + total / n))
+        self.weights = {g: weight(n) for g, n in seen.items()}
+        #: shingles of several items of other blocks alone
+        self.others = np.array(sorted(among), np.uint64)
+        self.others_weight = np.array([weight(among[x]) for x in self.others.tolist()], np.int64)
         self.sets = [frozenset(g.tolist()) for g in own]
         self.mass = [sum(self.weights[x] for x in s) for s in self.sets]
         self.known = np.array(sorted(self.weights), np.uint64)
@@ -111,10 +131,13 @@ class Matcher:
     def weigh(self, g: np.ndarray) -> np.ndarray:
         """Weights of shingles; those of no item weigh as much as the rarest."""
         hit = self.hits(g)
+        if len(self.others):
+            at = np.minimum(np.searchsorted(self.others, g), len(self.others) - 1)
+            hit = np.where(self.others[at] == g, self.others_weight[at], hit)
         return np.where(hit > 0, hit, self.rare)
 
     def hits(self, g: np.ndarray) -> np.ndarray:
-        """Weights of the shingles that are some item's, else 0."""
+        """Weights of the shingles that are some item's of this block, else 0."""
         out = np.zeros(len(g), np.int64)
         maybe = np.flatnonzero(self.filter[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if len(maybe):
@@ -168,9 +191,9 @@ class Matcher:
                 prints = _fingerprints(total[chunk - a + span] - total[chunk - a])
                 for r, i in zip(*self.candidates(w, prints), strict=True):
                     s = int(chunk[r])
-                    window = set(g[s : s + span].tolist())
-                    both = sum(self.weights[x] for x in window & self.sets[i])
-                    union = self.mass[i] + sum(self.weights.get(x, self.rare) for x in window) - both
+                    window = np.unique(g[s : s + span])
+                    both = sum(self.weights[x] for x in self.sets[i].intersection(window.tolist()))
+                    union = self.mass[i] + int(self.weigh(window).sum()) - both
                     if 100 * both >= self.percent * union and (i not in best or both / union > best[i][0]):
                         best[int(i)] = (both / union, s, size)
         return best
@@ -185,20 +208,35 @@ def _chunks(starts: np.ndarray, stretch: int) -> Iterator[np.ndarray]:
         at = stop
 
 
+def count_items(items: DataFrame, k: int, text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items, and the shingles that two of them hold at least, ascending, with their numbers of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(text):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(item_grams(hashes(value.as_py()), k)).view(np.int64))], ["g"])
+
+    rows = items.select(text).mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
+    g, n = rows.column("g").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(g)
+    return items.count(), g[order], n[order]
+
+
 def matchers(items: DataFrame, k: int, percent: int, item: str, text: str, item_bytes: int = ITEM_BYTES) -> list[Matcher]:
     """The items in blocks of at most item_bytes of text (one item at least), in the order of their ids."""
     rows = items.select(F.col(item).alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator()
+    counted = count_items(items, k, text)
     out: list[Matcher] = []
     held: list[tuple[object, str | None]] = []
     size = 0
     for r in rows:
         n = len(r["t"] or "")
         if held and size + n > item_bytes:
-            out.append(Matcher(held, k, percent))
+            out.append(Matcher(held, k, percent, counted))
             held, size = [], 0
         held.append((r["i"], r["t"]))
         size += n
-    return out + [Matcher(held, k, percent)] if held else out
+    return out + [Matcher(held, k, percent, counted)] if held else out
 
 
 def contaminations(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

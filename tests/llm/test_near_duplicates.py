@@ -165,3 +165,20 @@ def test_document_with_fewer_words_than_the_item(spark):
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in rows} == want
     assert {(r["doc_id"], r["start_word"], r["n_words"]) for r in rows} == {(1, 0, 49), (2, 0, 47), (3, 0, 59), (7, 0, 50)}
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()} == {4, 5, 6}
+
+
+def test_weights_do_not_depend_on_blocks_of_items(spark):
+    rng = random.Random(8)
+    draw = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 + str(rng.randrange(500)) for _ in range(n)]
+    phrase, other = draw(18), draw(16)
+    items = [(i, " ".join((phrase if i % 3 else other) + draw(6 + i % 2))) for i in range(40)] + [(40, None), (41, "")]
+    docs = [" ".join(draw(9) + t.split()[: 24 - i % 7] + draw(9)) for i, t in items[:40]] + [" ".join(draw(5) + phrase + draw(6) + other + draw(7)), " ".join(phrase + draw(2))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.Matcher(items, 5, 80)
+    want = {(d, i): v for d, t in enumerate(docs) for i, v in whole.find(t).items()}
+    for size in (10**6, 900, 300, 1):
+        blocks = decontaminate.matchers(bench, 5, 80, "item_id", "text", item_bytes=size)
+        assert (len(blocks) > 1) == (size < 10**6)
+        assert {m.rare for m in blocks} == {whole.rare}
+        got = {(d, m.names[i]): v for m in blocks for d, t in enumerate(docs) for i, v in m.find(t).items()}
+        assert got == want and want
