@@ -430,11 +430,24 @@ def op7_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
-    """One row of each group of near duplicates, that of the least doc_id; all columns of `docs` stay. Texts without
-    words and rows whose doc_id is null stay."""
-    found = near_duplicates(docs, k, percent, key)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialise(gone)
-    few = gone.count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates; all columns of `docs` stay.
+
+    Rows are told apart by doc_id and text: of a group the row of the least doc_id stays, of equal doc_ids that of the
+    least text hash, of equal doc_ids and texts any one. Rows whose doc_id is null are chosen from by themselves, so a
+    group that has both keeps one of each. Texts without words stay.
+    """
+    row = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("id"), F.xxhash64(text).alias("h"))
+    found = near_duplicates(docs.select(row.alias("__row"), F.col(text).alias("__text")), k, percent, "__row", "__text").filter("n_shingles > 0")
+    found = materialise(found.select(F.col("doc_id").alias("__row"), "component_id"))
+    stay = found.groupBy("component_id", "__row.unnamed").agg(F.min("__row").alias("__row")).select("__row")
+    rows = found.groupBy("__row").agg(F.count("*").alias("__n"))
+    # the rows that aren't chosen, and the chosen ones that stand there several times
+    marked = rows.join(stay.withColumn("__stays", F.lit(True)), "__row", "left").filter("__stays is null or __n > 1")
+    marked = materialise(marked.select("__row", F.col("__stays").isNotNull().alias("__stays")))
+    few = marked.count() <= 1_000_000
+    lone = docs.withColumn("__row", row).join(F.broadcast(marked) if few else marked, "__row", "left")
+    left = lone.filter("__stays is null").select(*docs.columns)
+    if not marked.filter("__stays").limit(1).count():
+        return left
+    return left.union(lone.filter("__stays").dropDuplicates(["__row"]).select(*docs.columns))

@@ -182,3 +182,15 @@ def test_weights_do_not_depend_on_blocks_of_items(spark):
         assert {m.rare for m in blocks} == {whole.rare}
         got = {(d, m.names[i]): v for m in blocks for d, t in enumerate(docs) for i, v in m.find(t).items()}
         assert got == want and want
+
+
+def test_keep_one_of_repeated_and_null_ids(spark):
+    say = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(1, say("a"), "x"), (5, say("a"), "x"), (5, say("b"), "x"), (5, "", "x"), (5, "", "x")]
+    rows += [(7, say("c"), "x")] * 3 + [(7, say("c") + " more", "x"), (8, say("c"), "y")]
+    rows += [(None, say("d"), "x"), (None, say("d"), "x"), (None, say("d") + " more", "x"), (None, say("e"), "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = jaccard_join.keep_one(df)
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out.collect())
+    assert got == {(1, "a"): 1, (5, "b"): 1, (5, ""): 2, (7, "c"): 1, (None, "d"): 1, (None, "e"): 1, (None, ""): 1}
