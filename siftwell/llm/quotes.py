@@ -12,7 +12,8 @@ it is found by pointer doubling, in as many rounds as the binary logarithm of th
 gathered in one task: rows carry their order, and `in_order` sorts by ranges that may cut a conversation.
 
 Null texts are empty messages. Messages with a null conversation or turn stay, unlinked, as threads of their own.
-Passages shorter than LEAST normalised characters are not linked. Repeated (conversation, turn) rows stay each; a reply to
+Passages and lines of any length but the empty ones are linked; their length only weighs votes. ORACLE_SQL links those of
+12 characters at least, and gives the same rows where no shorter one is quoted. Repeated (conversation, turn) rows stay each; a reply to
 such a turn is to either. Columns besides the four named are not returned.
 """
 
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise, table
 
-LEAST = 12
 _MARKS = r"\A[ \t]*(?:>[ \t]?)+"
 _WROTE = r"(?i)\A[^\n>]{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*\z"
 
@@ -54,7 +54,7 @@ def passages(lines: Column) -> Column:
 
 
 def _units(source: Column, quoted: bool) -> Column:
-    fit = F.filter(source, lambda u: ((u["level"] > 0) == F.lit(quoted)) & (F.length(u["text"]) >= LEAST))
+    fit = F.filter(source, lambda u: ((u["level"] > 0) == F.lit(quoted)) & (u["text"] != ""))
     return F.array_distinct(fit)
 
 

@@ -55,3 +55,10 @@ def test_sql_gives_the_same_rows(spark):
     plain = lambda x: None if x is None or x != x else int(x) if isinstance(x, float) else x
     theirs = sorted(([plain(r[want.columns.index(c)]) for c in names] for r in want.fetchall()), key=key)
     assert sorted(([plain(r[c]) for c in names] for r in quotes.link(df).collect()), key=key) == theirs
+
+
+def test_short_messages_are_linked(spark):
+    rows = [(1, 0, "a", "I disagree"), (1, 1, "b", "> I disagree\nWhy?"), (1, 2, "a", "> Why?\nno"), (1, 3, "b", ">\n> \nfine"), (2, 0, "a", "好的"), (2, 1, "b", "> 好的\n谢谢"), (2, 2, "c", "a much longer message\nno"), (2, 3, "d", "> a much longer message\n> 谢谢\nso")]
+    got = {(r["conv_id"], r["turn"]): (r["parent"], r["thread"], r["depth"]) for r in quotes.link(chats(spark, rows)).collect()}
+    assert got[1, 1] == (0, 0, 1) and got[1, 2] == (1, 0, 2) and got[1, 3] == (None, 3, 0)
+    assert got[2, 1] == (0, 0, 1) and got[2, 2] == (None, 2, 0) and got[2, 3] == (2, 2, 1)
