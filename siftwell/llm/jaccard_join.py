@@ -14,6 +14,8 @@ sets are compared.
    unconnected the pairs of shingles with few classes are counted, class by class, from packed lists; shingles with more
    than SMALL classes form clusters that are compared set by set, a pair of blocks a task. No step makes a row for each
    pair of a group.
+   all_links() does not stop at what is connected: it counts all pairs of shingles with few classes and compares all of
+   the clusters of others, so that every link is found and counted.
 4. verification: exact, on the sets of the classes that stand in a candidate pair.
 
 Everything is written to the shared folder between the steps. Null and empty texts, or texts without words, have the
@@ -317,15 +319,20 @@ def _rest(open_rows: DataFrame, percent: int) -> DataFrame:
     return listed.groupBy("a").applyInArrow(count, "a bigint, b bigint")
 
 
-def link_classes(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, kid) of every document and (node, root) of every class that links with another."""
+def _start(docs: DataFrame, k: int, percent: int, key: str, text: str, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, kid) of every document and the shared prefix shingles of postings(), written."""
     size = text_bytes(docs, text)
     range_bits = min(20, max(4, (size // RANGE_BYTES).bit_length()))
     code_bits = min(56, max(30, (size // 6 + 1).bit_length() + 6))
     first = materialise(signatures(docs, k, key, text, code_bits, range_bits))
     sig = first.filter("range is null").select("doc_id", "n", "kid")
     frequent = hot_codes(first.filter("range is not null"), code_bits, range_bits, hot)
-    alive = materialise(postings(docs, k, percent, text, frequent, code_bits, range_bits))
+    return sig, materialise(postings(docs, k, percent, text, frequent, code_bits, range_bits))
+
+
+def link_classes(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, kid) of every document and (node, root) of every class that links with another."""
+    sig, alive = _start(docs, k, percent, key, text, hot)
 
     def checked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs, written, and those that link."""
@@ -408,6 +415,99 @@ def _blocks(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return sent.join(held, "kid").groupBy("cluster", "p", "q").applyInArrow(compare, "a bigint, b bigint")
 
 
+def all_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", hot: int = HOT, listed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, kid) of every document, and rows (kid, n_links, others, tree) of all links between classes.
+
+    Every candidate pair is verified, whatever is connected already. A class has several rows: n_links, the documents
+    of the classes it links with, is to be summed; others holds, where listed, each link in one of its two classes;
+    tree holds links that connect the same classes as all do.
+    """
+    sig, alive = _start(docs, k, percent, key, text, hot)
+    copies = materialise(sig.filter("n > 0").groupBy("kid").agg(F.count("*").alias("w")))
+    rows = alive.select("token", "kid", "n", "l", F.col("kid").alias("root"))
+    sizes = materialise(rows.groupBy("token").agg(F.count("*").alias("m"), F.min("kid").alias("cluster")))
+    many = rows.select("token", "kid").join(sizes.filter(F.col("m") > SMALL), "token")
+    many = materialise(many.groupBy("kid").agg(F.sort_array(F.collect_set("cluster")).alias("clusters")))
+    pairs = materialise(_rest(rows.join(sizes.filter(F.col("m") <= SMALL).select("token"), "token", "left_semi"), percent))
+    held = materialise(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("kid")).distinct(), sig, k, key, text))
+    # pairs of one cluster are found there
+    x, y = (many.select(F.col("kid").alias(c), F.col("clusters").alias(f"of_{c}")) for c in "ab")
+    apart = verify(pairs, held, percent).join(x, "a", "left").join(y, "b", "left").filter(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False)))
+    apart = materialise(apart.select("a", "b"))
+    none = F.expr("cast(array() as array<bigint>)")
+    there = apart.join(copies.withColumnRenamed("kid", "b"), "b").select(F.col("a").alias("kid"), F.col("w").alias("n_links"), F.array("b").alias("others"), F.array("b").alias("tree"))
+    back = apart.join(copies.withColumnRenamed("kid", "a"), "a").select(F.col("b").alias("kid"), F.col("w").alias("n_links"), none.alias("others"), none.alias("tree"))
+    found = there.union(back)
+    if many.limit(1).count():
+        held = sets(docs, many.select("kid"), sig, k, key, text)
+        found = found.union(materialise(_all_blocks(many.join(copies, "kid"), held, percent, listed)))
+    return sig, found
+
+
+def _all_blocks(many: DataFrame, held: DataFrame, percent: int, listed: bool) -> DataFrame:
+    """All links within clusters as in all_links(); many: (kid, clusters, w). Blocks are paired as in _blocks().
+
+    A pair that stands in several clusters counts in the least of them.
+    """
+    members = many.select("kid", "clusters", "w", F.explode("clusters").alias("cluster"))
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("kid"), F.col("blocks")).cast("int"))
+    sent = own.select("cluster", "kid", "clusters", "w", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    sent = sent.select("cluster", "kid", "clusters", "w", "i", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        kids, weight, side = (group.column(c).to_numpy() for c in ("kid", "w", "i"))
+        held = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
+        p, q, cluster = (group.column(c)[0].as_py() for c in ("p", "q", "cluster"))
+        of = group.column("clusters").to_pylist()
+        place = {c: i for i, c in enumerate(sorted(set().union(*of)))}
+        within = np.zeros((len(kids), len(place)), bool)
+        for x, cs in enumerate(of):
+            within[x, [place[c] for c in cs]] = True
+        right = np.flatnonzero(side == q)
+        size = np.array([len(held[x]) for x in right], np.int64)
+        tokens = np.concatenate([held[x] for x in right]) if len(right) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(right)), size)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        root = list(range(len(kids)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        total = np.zeros(len(kids), np.int64)
+        others: list[list[int]] = [[] for _ in kids]
+        tree: list[list[int]] = [[] for _ in kids]
+        for x in np.flatnonzero(side == p) if len(right) else ():
+            lo, hi = np.searchsorted(tokens, held[x], "left"), np.searchsorted(tokens, held[x], "right")
+            count = hi - lo
+            places = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
+            both = np.bincount(owner[places], minlength=len(right))
+            near = (100 * both >= percent * (len(held[x]) + size - both)) & ((within[x] & within[right]).argmax(axis=1) == place[cluster])
+            met = right[near & (right > x)] if p == q else right[near]
+            total[x] += weight[met].sum()
+            total[met] += weight[x]
+            if listed:
+                others[x] = kids[met].tolist()
+            for y in met.tolist():
+                if find(int(x)) != find(y):
+                    root[find(int(x))] = find(y)
+                    tree[x].append(int(kids[y]))
+        some = np.flatnonzero(total).tolist()
+        lists = pa.list_(pa.int64())
+        return pa.table({"kid": pa.array(kids[some], pa.int64()), "n_links": pa.array(total[some], pa.int64()), "others": pa.array([others[x] for x in some], lists), "tree": pa.array([tree[x] for x in some], lists)})
+
+    return sent.join(held, "kid").groupBy("cluster", "p", "q").applyInArrow(compare, "kid bigint, n_links bigint, others array<bigint>, tree array<bigint>")
+
+
+def class_links(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, kid) of every document, and all links (a, b) between different classes, each once."""
+    sig, found = all_links(docs, k, percent, key, text, hot, listed=True)
+    return sig, found.select("kid", F.explode("others").alias("b")).select(F.least("kid", "b").alias("a"), F.greatest("kid", "b").alias("b"))
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """Rows of the tokens whose classes aren't all under one root."""
     several = rows.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("token")
@@ -417,17 +517,32 @@ def _open(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Per document doc_id, n_shingles and component_id, the least doc_id reachable by links."""
     sig, linked = link_classes(docs, k, percent, key, text, hot)
+    out = sig.join(_named(sig, linked), "kid", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """As near_duplicates(), from all links, with n_links: the other documents that the document links with, copies too."""
+    sig, found = all_links(docs, k, percent, key, text, hot)
+    named = _named(sig, components(found.select(F.col("kid").alias("a"), F.explode("tree").alias("b"))))
+    counted = found.groupBy("kid").agg(F.sum("n_links").alias("to"))
+    copies = sig.filter("n > 0").groupBy("kid").agg(F.count("*").alias("w"))
+    links = copies.join(counted, "kid", "left").select("kid", (F.col("w") - 1 + F.coalesce("to", F.lit(0))).alias("n_links"))
+    out = sig.join(named.join(links, "kid"), "kid", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _named(sig: DataFrame, linked: DataFrame) -> DataFrame:
+    """(kid, component_id) of every class."""
     classes = sig.filter("n > 0").groupBy("kid").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(linked.withColumnRenamed("node", "kid"), "kid", "left").withColumn("root", F.coalesce("root", "kid"))
     rooted = materialise(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.select("kid", "root").join(least, "root").select("kid", "component_id"))
-    out = sig.join(named, "kid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return materialise(rooted.select("kid", "root").join(least, "root").select("kid", "component_id"))
 
 
 def op7_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return linked_documents(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -194,3 +194,20 @@ def test_keep_one_of_repeated_and_null_ids(spark):
     assert out.columns == df.columns
     got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out.collect())
     assert got == {(1, "a"): 1, (5, "b"): 1, (5, ""): 2, (7, "c"): 1, (None, "d"): 1, (None, "e"): 1, (None, ""): 1}
+
+
+@pytest.mark.parametrize(("k", "percent", "small", "block"), [(4, 85, 64, 256), (2, 50, 3, 8)])
+def test_all_links_and_their_numbers(spark, monkeypatch, k, percent, small, block):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = corpus(k)
+    sets = [frozenset(shingle_set(t, k).tolist()) for _, t in rows]
+    linked = [[i != j and bool(x) and bool(y) and 100 * len(x & y) >= percent * len(x | y) for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = [(*r, sum(own)) for r, own in zip(brute(rows, k, percent), linked, strict=True)]
+    assert sorted(map(tuple, jaccard_join.linked_documents(df, k, percent).collect()), key=key) == sorted(want, key=key)
+    kid = [jaccard_join.class_id(np.array(sorted(s), np.uint64)) if s else None for s in sets]
+    pairs = {(min(kid[i], kid[j]), max(kid[i], kid[j])) for i, own in enumerate(linked) for j, met in enumerate(own) if met and kid[i] != kid[j]}
+    got = [tuple(r) for r in jaccard_join.class_links(df, k, percent)[1].collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) > 30
