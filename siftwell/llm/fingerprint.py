@@ -101,7 +101,7 @@ def features(raw: bytes, rank: np.ndarray) -> np.ndarray:
     """Hashes of the selected windows in the order of the text."""
     if len(raw) < TINY:
         return np.array([xxhash.xxh3_64_intdigest(raw[i : i + 8]) for i in range(max(1, len(raw) - 7))] if raw else [], np.uint64)
-    out = []
+    out, best = [], None
     popular, threshold = (POPULAR, THRESHOLD) if len(raw) >= SHORT else (POPULAR // 4, THRESHOLD // 4)
     # a stretch overlaps the next so that every run of POPULAR windows lies within one; runs count where they start
     for a, b in _stretches(raw, WINDOW + POPULAR - 2):
@@ -113,10 +113,12 @@ def features(raw: bytes, rank: np.ndarray) -> np.ndarray:
             width *= 2
         wins = np.bincount(key & 0xFFFFFFFF, minlength=len(r))
         chosen = np.flatnonzero((wins >= threshold) & (r < BINS))
-        if not len(chosen) and len(raw) <= STRETCH:
-            chosen = np.array([int(np.argmin(r))])
         out.append(_hash(b, chosen))
-    return np.concatenate(out)
+        at = int(np.argmin(r))
+        if best is None or r[at] < best[0]:
+            best = r[at], _hash(b, np.array([at]))
+    found = np.concatenate(out)
+    return found if len(found) else best[1]
 
 
 def _hash(b: np.ndarray, chosen: np.ndarray) -> np.ndarray:

@@ -125,3 +125,11 @@ def test_toxicity_held_out(spark):
     none = toxicity.fit(df, known.limit(0))
     assert {round(r["score"], 6) for r in toxicity.score(df.limit(20), none).collect()}.__len__() == 1
     assert toxicity.undone("1d1o0t") == "idioot"[:6] or toxicity.undone("l0ser") == "loser"
+
+
+def test_long_dull_texts_have_a_feature():
+    rank = fingerprint.ranks(np.arange(fingerprint.BINS))
+    for pattern in ("a", "abcdefg"):
+        short, long = (fingerprint.features((pattern * n)[:n].encode(), rank) for n in (fingerprint.STRETCH, 2 * fingerprint.STRETCH + 999))
+        assert len(short) == len(long) == 1 and short[0] == long[0]
+        assert len(fingerprint.digest(pattern * fingerprint.STRETCH * 2, rank))
