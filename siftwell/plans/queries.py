@@ -369,7 +369,7 @@ FROM (VALUES (','), (';'), (chr(9)), ('|')) AS t(d)"""
 
 def table_profile_supplier(spark, sf_dir):
     """A table's own profile: texts as they are, shares not rounded."""
-    out = tables.table_profile(_texts(read(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "s_nationkey", "s_acctbal"))
+    out = tables.table_profile(_texts(read(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "s_nationkey", "s_acctbal"), whole=True)
     return out.select("field", "sample_size", "null_count", "null_percentage", "distinct_count", "min_value", "max_value")
 
 

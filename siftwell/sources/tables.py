@@ -85,10 +85,10 @@ def validation_rules(fields: DataFrame) -> DataFrame:
     return fields.groupBy("table_name").agg(required.alias("required_fields"), F.sort_array(F.collect_set(F.when(unique, F.col("name")))).alias("unique_constraints"))
 
 
-def table_profile(df: DataFrame, options: ProfileOptions = ProfileOptions(), order_by: list[str] | None = None) -> DataFrame:
-    """Profiles of at most sample_size rows: texts as they are, nulls alone are null, all distinct values counted, shares
+def table_profile(df: DataFrame, options: ProfileOptions = ProfileOptions(), order_by: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """Profiles of at most sample_size rows, or of the whole table: texts as they are, nulls alone are null, all distinct values counted, shares
     not rounded."""
-    rows = (df.orderBy(*order_by) if order_by else df).limit(options.sample_size)
+    rows = df if whole else (df.orderBy(*order_by) if order_by else df).limit(options.sample_size)
     return profile(rows, None, options, blank_is_null=False, numeric_range=False, round_to=None, cap_distinct=False).withColumnRenamed("total_count", "sample_size")
 
 

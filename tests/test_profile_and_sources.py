@@ -128,3 +128,12 @@ def test_database_contract(spark):
     assert s["name"] == "orders" and s["validation_rules"] == {"required_fields": ["o_orderkey", "o_custkey"], "unique_constraints": ["o_orderkey", "o_orderstatus"]}
     assert [k["type"] for k in s["fields"][1]["constraints"]] == ["foreign_key", "not_null"] and s["fields"][1]["description"] == "who"
     assert tables.table_exists(catalog["tables"], "public", "v") and not tables.table_exists(catalog["tables"], "public", "x")
+
+
+def test_supplier_profile_covers_the_whole_table(spark, tmp_path):
+    from siftwell.plans import queries as plans
+
+    rows = spark.range(10_001).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name", "id % 25 AS s_nationkey", "cast(id AS double) AS s_acctbal")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["field"]: r for r in plans.queries()["table_profile_supplier"](spark, str(tmp_path)).collect()}
+    assert {r["sample_size"] for r in got.values()} == {10_001} and got["s_suppkey"]["distinct_count"] == 10_001
