@@ -72,6 +72,26 @@ class EliasFano:
         place = start + int(np.flatnonzero(bits)[i - k * SAMPLE])
         return self.base + ((place - i) << self.low | self._low(i))
 
+    def select_run(self, first: int, stop: int) -> np.ndarray:
+        """Values number first to stop - 1: the samples lead to the first, and only that stretch is unpacked."""
+        if not 0 <= first <= stop <= self.n:
+            raise IndexError((first, stop))
+        if first == stop:
+            return np.zeros(0, np.int64)
+        k = first // SAMPLE
+        last = -(-stop // SAMPLE)
+        start = int(self.samples[k])
+        end = int(self.samples[last]) + 1 if last < len(self.samples) else 8 * len(self.upper)
+        bits = np.unpackbits(self.upper[start >> 3 : (end + 7) >> 3], bitorder="little")[start & 7 :]
+        i = np.arange(first, stop)
+        high = start + np.flatnonzero(bits)[i - k * SAMPLE] - i
+        low = np.zeros(len(i), np.int64)
+        if self.low:
+            at = first * self.low
+            raw = np.unpackbits(self.lower[at >> 3 : (stop * self.low + 7) >> 3], bitorder="little")[at & 7 :][: len(i) * self.low]
+            low = raw.reshape(len(i), self.low).astype(np.int64) @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
+        return np.int64(self.base) + (high << self.low | low)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n].astype(np.uint64)
         high = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low)

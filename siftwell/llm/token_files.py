@@ -20,110 +20,107 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.llm import elias_fano
-from siftwell.llm.common import deal_by_range, range_bounds, small_batches, table, text_bytes, work_dir
+from siftwell.llm.common import deal_by_range, range_bounds, slices, small_batches, table, text_bytes, work_dir
 
 MAGIC = b"SWTK0001"
 FILE_IDS = 4_000_000
 #: Bytes of text whose ids go to one range.
 RANGE_BYTES = 48 << 20
-MEMO = 200_000
-#: Characters of text that are encoded at once, and words of letters that are given to the library as one text.
-GROUP = 500_000
-TOGETHER = 4_000
-
-
-def _letters(word: bytes) -> bool:
-    """Only letters, of scripts whose case and composition are settled."""
-    s = word.decode()
-    return s.isalpha() and max(s) < "\u0250"
-
-
+MEMO, KEPT = 200_000, 48
+#: Characters that code the bytes 0 to 255 in byte-level vocabularies: the printable ones code themselves, the others
+#: follow in order from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CODED = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+#: The steps of a specification that _Words repeats by itself.
+_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+
+
+class _Words(dict):
+    """Packed ids of words of at most KEPT bytes, made when first asked for. When full, what it holds is kept aside while
+    it fills again."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit // 2, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > KEPT:
+            return self.make(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        if (ids := self.old.get(word)) is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
 
 
 class WordTokenizer:
     """A tokenizer of the tokenizers library that lower-cases and drops white space, so that it can be asked by word.
 
-    What the library gives for a word is remembered, for at most MEMO words; new words go to it in batches. Words are
-    cut at ASCII white space, A-Z are lower-cased and one mark after a word of letters is asked for by itself; all else
-    inside words is the library's.
+    Words are cut at ASCII white space, A-Z are lower-cased; what a word gives is remembered, for at most MEMO words. A
+    printable word of Latin-1 is cut by the specification's pattern and goes straight to the library's model; any other
+    is encoded by the whole library. A text that holds a special token's string goes to the library as it is, which
+    takes it for the special token, its default; with special=False such strings are ordinary text.
     """
 
-    def __init__(self, spec: str, memo: int = MEMO):
+    def __init__(self, spec: str, memo: int = MEMO, special: bool = True):
         from tokenizers import Tokenizer
 
-        self.spec, self.limit = spec, memo // 2
+        self.spec, self.memo = spec, memo
+        self.whole = Tokenizer.from_str(spec)
         self.own = Tokenizer.from_str(spec)
         self.own.encode_special_tokens = True
+        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()] if special else []
         self.width = 2 if self.own.get_vocab_size() <= 1 << 16 else 4
-        vocabulary = self.own.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.model = self.own.model
+        read = json.loads(spec)
+        normal, cuts = (read["normalizer"] or {}).get("normalizers", []), (read["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = ([x["type"] for x in normal], [x["type"] for x in cuts]) == _STEPS and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and not cuts[1]["add_prefix_space"]
+        self.find = regex.compile(cuts[0]["pattern"]["Regex"]).findall if plain else None
+        self.words = _Words(self._word, memo)
 
     def __reduce__(self):
-        return WordTokenizer, (self.spec, 2 * self.limit)
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        new = self.new
-        for w in words & self.old.keys():
-            new[w] = self.old[w]
-        ask = words - new.keys()
-        parts = {w: w[:-1] for w in ask if w[-1] in b".,;:!?" and _letters(w[:-1])}
-        alone = (ask - parts.keys()) | (set(parts.values()) | {w[-1:] for w in parts}) - new.keys()
-        plain = [w for w in alone if _letters(w)]
-        for k in range(0, len(plain), TOGETHER):
-            self._ask_together(plain[k : k + TOGETHER])
-        self._ask_each(list(alone - set(plain)))
-        for w, stem in parts.items():
-            new[w] = new[stem] + new[w[-1:]]
-        return new
-
-    def _ask_each(self, words: list[bytes]) -> None:
-        kind = f"<u{self.width}"
-        for w, got in zip(words, self.own.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.new[w] = np.array(got.ids, kind).tobytes()
-
-    def _ask_together(self, words: list[bytes]) -> None:
-        """Words of letters are one pre-token each, whose last token alone is one that ends a word."""
-        (got,) = self.own.encode_batch_fast([" ".join(w.decode() for w in words)], add_special_tokens=False)
-        ids = np.array(got.ids, f"<u{self.width}")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words) or stops[-1] != len(ids):
-            return self._ask_each(words)
-        raw, start = ids.tobytes(), 0
-        for w, stop in zip(words, (stops * self.width).tolist(), strict=True):
-            self.new[w] = raw[start:stop]
-            start = stop
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> Iterator[bytes]:
+        return WordTokenizer, (self.spec, self.memo, bool(self.special))
+
+    def _pack(self, ids: Iterable[int]) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha() and self.find:
+            return self._pack([t.id for t in self.model.tokenize(word.decode())])
+        s = word.decode()
+        if not self.find or not s.isprintable() or max(s) > "\xff":
+            return self._pack(self.own.encode(s, add_special_tokens=False).ids)
+        pieces = self.find(s.lower())
+        if len(pieces) == 1:
+            return self._pack([t.id for t in self.model.tokenize(pieces[0].encode().decode("latin-1").translate(_CODED))])
+        return b"".join([self.words[p.encode()] for p in pieces])
+
+    def encode(self, texts: Iterable[str | None], end: int | None = None) -> Iterator[bytes]:
         """Ids of each text, `width` bytes each, little-endian; `end` is appended."""
         close = b"" if end is None else end.to_bytes(self.width, "little")
-        start = 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= GROUP):
-                chars += len(texts[stop] or "")
-                stop += 1
-            split = [(t or "").encode().lower().split() for t in texts[start:stop]]
-            held = self._learn({w for words in split for w in words})
-            for words in split:
-                yield b"".join(map(held.__getitem__, words)) + close
-            start = stop
+        get = self.words.__getitem__
+        for text in texts:
+            if not text:
+                yield close
+            elif "<" in text and any(x in text for x in self.special):
+                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes() + close
+            else:
+                yield b"".join(map(get, text.encode().lower().split())) + close
 
 
 def tokenise(df: DataFrame, tokenizer: WordTokenizer, end: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,9 +129,9 @@ def tokenise(df: DataFrame, tokenizer: WordTokenizer, end: int | None, key: str
     schema = T.StructType([df.schema[key], T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = list(shared.value.encode(batch.column(text).to_pylist(), end))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ids, pa.binary())], [key, "ids"])
+        for part in slices(batches):
+            ids = list(shared.value.encode((x.as_py() for x in part.column(text)), end))
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(ids, pa.binary())], [key, "ids"])
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -172,6 +169,14 @@ class TokenFile:
     def span(self, k: int) -> tuple[int, int]:
         return (self.ends.select(k - 1) if k else 0), self.ends.select(k)
 
+    def spans(self, first: int, stop: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+        """Doc ids, starts and ends of the documents first to stop - 1, by select."""
+        nulls = self.head["nulls"]
+        ends = self.ends.select_run(max(0, first - 1), stop)
+        starts = ends[:-1] if first else np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        known = self.doc_ids.select_run(max(0, first - nulls), max(0, stop - nulls)).tolist()
+        return [None] * (stop - first - len(known)) + known, starts, ends[1:] if first else ends
+
     def document(self, k: int) -> np.ndarray:
         start, stop = self.span(k)
         return self.ids[start:stop]
@@ -228,22 +233,23 @@ def write(tokens: DataFrame, folder: str, width: int, bounds: list[int], key: st
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Per document doc_id, start (ids of all documents before it), n_tokens and ids (unsigned 32-bit)."""
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    # one row a file, about 8 MB of ids each
-    before = manifest.select("file", (F.sum("ids").over(W.orderBy("part", "number")) - F.col("ids")).alias("before"))
+    manifest = spark.read.parquet(f"{folder}/manifest").withColumn("some", F.shiftright("part", 10))
+    # one row a file, about 8 MB of ids each: sums within a thousand parts, then over what stands before them
+    sums = manifest.groupBy("some").agg(F.sum("ids").alias("held"))
+    sums = sums.select("some", (F.sum("held").over(W.orderBy("some")) - F.col("held")).alias("earlier"))
+    within = F.sum("ids").over(W.partitionBy("some").orderBy("part", "number")) - F.col("ids")
+    before = manifest.select("file", "some", within.alias("within_some")).join(sums, "some").select("file", (F.col("within_some") + F.col("earlier")).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 own = TokenFile(content.as_buffer())
-                ends = own.ends.all()
-                docs = [None] * own.head["nulls"] + own.doc_ids.all().tolist()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                for k in range(0, len(docs), 250):
-                    ids = [own.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[k : k + 250], ends[k : k + 250], strict=True)]
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * n, pa.string()), pa.array(docs[k : k + n], pa.int64()), pa.array(starts[k : k + n]), pa.array((ends - starts)[k : k + n]), pa.array(ids, pa.binary())], ["file", "doc_id", "within", "n_tokens", "ids"])
+                name = path.rsplit("/", 1)[-1]
+                for k in range(0, len(own), 250):
+                    docs, starts, stops = own.spans(k, min(k + 250, len(own)))
+                    ids = [own.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(docs, pa.int64()), pa.array(starts), pa.array(stops - starts), pa.array(ids, pa.binary())], ["file", "doc_id", "within", "n_tokens", "ids"])
 
     docs = files.select("path", "content").mapInArrow(run, "file string, doc_id bigint, within bigint, n_tokens bigint, ids binary")
     return docs.join(F.broadcast(before) if manifest.count() <= 100_000 else before, "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")

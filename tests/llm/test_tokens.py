@@ -56,6 +56,8 @@ def test_bpe_over_a_table(spark, codec):
 def test_elias_fano(values):
     data = elias_fano.encode(values, values[0] if values else 0)
     e = elias_fano.EliasFano(data)
+    for a, b in ((0, len(values)), (len(values) // 3, len(values) // 2), (len(values) // 2, len(values))):
+        assert e.select_run(a, b).tolist() == values[a:b]
     assert e.all().tolist() == values and [e.select(i) for i in range(0, len(values), 37)] == values[::37]
     assert e.bytes == len(data)
     with pytest.raises(IndexError):
@@ -68,12 +70,16 @@ def words():
         return token_files.WordTokenizer(f.read(), memo=40)
 
 
-def test_words_equal_the_library(words):
+@pytest.mark.parametrize("special", [True, False])
+def test_words_equal_the_library(words, special):
     own = Tokenizer.from_str(words.spec)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = not special
     rng = random.Random(9)
-    texts = TEXTS + ["".join(rng.choice([*PIECES, "İstanbul", "ΣΑΣ", "Erst.", "á", "ΐ,", "Straße!"]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
-    got = list(words.encode(texts, 2))
+    more = ["İstanbul", "ΣΑΣ", "Erst.", "á", "ΐ,", "Straße!", "É", "\xad", "\x1c", "\x7f", "ª", "²", "''S", "x" * 60, "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|"]
+    texts = TEXTS + ["x<|endoftext|>y"] + ["".join(rng.choice([*PIECES, *more]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    got = list(token_files.WordTokenizer(words.spec, memo=40, special=special).encode(texts, 2))
+    if special:
+        assert np.frombuffer(got[len(TEXTS)], "<u2").tolist() == [343, 49407, 344, 2]
     for t, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == [*own.encode(t or "", add_special_tokens=False).ids, 2], t
 
@@ -82,7 +88,7 @@ def test_token_files_round_trip(spark, words):
     rows = [(i * 3 - 10, f"text number {i} " * (i % 7)) for i in range(200)] + [(None, "no id"), (5, None), (5, "same id"), (5, "same id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "'x' as start").repartition(5)
     folder = work_dir(spark)
-    token_files.write(token_files.tokenise(df.select("doc_id", "text"), words, 2), folder, words.width, range_bounds(df, "doc_id", 4), file_ids=300)
+    token_files.write(token_files.tokenise(df, words, 2), folder, words.width, range_bounds(df, "doc_id", 4), file_ids=300)
     got = token_files.read(spark, folder).orderBy("start").collect()
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
     assert [r["doc_id"] for r in got] == [rows[i][0] for i in order]
@@ -96,6 +102,8 @@ def test_token_files_round_trip(spark, words):
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).first()["content"]
     f = token_files.TokenFile(bytes(content))
     assert sum(len(f.document(k)) for k in range(len(f))) == f.head["ids"]
+    docs, starts, stops = f.spans(0, len(f))
+    assert [(d, a, b) for d, a, b in zip(docs, starts.tolist(), stops.tolist(), strict=True)] == [(f.doc_id(k), *f.span(k)) for k in range(len(f))]
 
 
 def test_no_documents(spark, words):
