@@ -270,7 +270,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         all_codes, all_counts = summed(np.concatenate(codes), np.concatenate(counts))
         kind, known = group.column("kind")[0].as_py(), all_counts > 0
         if kind == "gram":
-            value = probabilities(all_codes, all_codes[known], all_counts[known], low.value).astype("<f4")
+            value = probabilities(all_codes, all_codes[known], all_counts[known], low.value).astype("<f8")
         else:
             value = all_counts.astype("<u8")
         sent = [_zip(value[np.searchsorted(all_codes, c)]) for c in codes]
@@ -302,7 +302,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         n_tokens = tokens.sums(np.ones(len(counts)), n).astype(np.int64)
         base = tokens.sums(np.log10(counts + 1), n) - n_tokens * np.log10(n_all + v_all + 1)
         known = tokens.sums((counts > 0).astype(float), n).astype(np.int64)
-        total = grams.sums(values_of("gram", grams.close(), "<f4"), n)
+        total = grams.sums(values_of("gram", grams.close(), "<f8"), n)
         return pa.table({"doc_id": group.column("doc_id"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(known), "train_tokens": pa.array([n_all] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(total)})
 
     kind = docs.schema[key].dataType.simpleString()
