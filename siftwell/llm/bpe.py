@@ -4,8 +4,9 @@ Two tiers: a minimal perfect hash (hash and displace: one displacement per bucke
 pre-tokens that are themselves in the vocabulary; a pre-token that isn't goes through the merges, a heap of
 (rank, position) over a doubly linked list of its bytes, O(n log n) however long it is.
 
-A worker remembers what the two tiers gave for the words and pre-tokens it has met, at most MEMO of either. Texts are cut into words at single spaces where that provably doesn't change the pre-tokens; texts with
-runs of spaces are matched whole. Null texts are encoded as empty ones. Rows and their other columns stay as they are,
+A worker remembers what the two tiers gave for the words it has met, at most MEMO of KEPT characters each, and for a
+quarter as many pre-tokens of texts that aren't cut into words. Texts are cut at single spaces where that provably
+doesn't change the pre-tokens; texts with runs of spaces are matched whole. Rows are taken a few hundred at a time. Null texts are encoded as empty ones. Rows and their other columns stay as they are,
 except that a column named like a result is replaced.
 """
 
@@ -16,6 +17,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -25,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from siftwell.llm.common import table
+from siftwell.llm.common import slices, table
 
-MEMO = 400_000
+MEMO, KEPT = 400_000, 48
 #: Longer texts are encoded in blocks of about so many characters.
 BLOCK = 4_000_000
 _MIX = 0x9E3779B97F4A7C15
@@ -81,13 +83,15 @@ class PerfectHash:
 
 class _Memo(dict):
     """Calls `make` for what it doesn't hold. When full, it keeps what it holds aside as long as it fills again, so that
-    what is asked for often stays."""
+    what is asked for often stays. Longer keys than KEPT aren't kept."""
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit // 2, {}
 
     def __missing__(self, key):
+        if len(key) > KEPT:
+            return self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -110,7 +114,9 @@ class Codec:
         self._ready()
 
     @classmethod
+    @cache
     def from_file(cls, path: str, **more) -> Codec:
+        """Built once in a process."""
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, **more)
 
@@ -119,7 +125,7 @@ class Codec:
         self.open_space = re.compile(r" (?:\s|\Z)").search
         self.packed = {key: rank.to_bytes(4, "little") for key, rank in self.ranks.items()}
         self.words = _Memo(self._word, self.memo)
-        self.pretokens = _Memo(lambda p: self.pretoken(p.encode()), self.memo)
+        self.pretokens = _Memo(lambda p: self.pretoken(p.encode()), max(2, self.memo // 4))
         self.table = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for key, rank in self.ranks.items():
             self.table[rank] = key
@@ -167,9 +173,9 @@ class Codec:
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it; words of letters and a full stop or comma need no pattern."""
         if word.isalpha():
-            return self.pretokens[" " + word]
+            return self.pretoken(b" " + word.encode())
         if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return self.pretokens[" " + word[:-1]] + self.pretokens[word[-1]]
+            return self.words[word[:-1]] + self.pretokens[word[-1]]
         return self._match(" " + word)
 
     def _match(self, text: str) -> bytes:
@@ -203,7 +209,20 @@ def _blocks(text: str) -> Iterator[str]:
         start = stop
 
 
-_KINDS = {"n_tokens": ("bigint", pa.int64()), "ids": ("binary", pa.binary()), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+_KINDS = {
+    "n_tokens": ("bigint", pa.int64()),
+    "ids": ("binary", pa.binary()),
+    "decoded": ("binary", pa.binary()),
+    "ids_sha256": ("string", pa.string()),
+    "decoded_sha256": ("string", pa.string()),
+}
+_RESULTS = {
+    "n_tokens": lambda ids, raw: len(ids) // 4,
+    "ids": lambda ids, raw: ids,
+    "decoded": lambda ids, raw: raw,
+    "ids_sha256": lambda ids, raw: hashlib.sha256(ids).hexdigest(),
+    "decoded_sha256": lambda ids, raw: hashlib.sha256(raw).hexdigest(),
+}
 
 
 def _schema(df: DataFrame, gone: Sequence[str], add: Sequence[str]) -> T.StructType:
@@ -222,13 +241,13 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", add: Sequence[str] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             made: dict[str, list] = {c: [] for c in add}
             for value in batch.column(text):
                 ids = own.encode(value.as_py())
                 raw = own.decode(ids) if "decoded" in made or "decoded_sha256" in made else b""
                 for c, put in made.items():
-                    put.append(len(ids) // 4 if c == "n_tokens" else ids if c == "ids" else raw if c == "decoded" else hashlib.sha256(ids if c == "ids_sha256" else raw).hexdigest())
+                    put.append(_RESULTS[c](ids, raw))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(made[c], _KINDS[c][1]) for c in add)], [*kept, *add])
 
     return df.mapInArrow(run, schema)
@@ -241,7 +260,7 @@ def decode(df: DataFrame, codec: Codec, ids: str = "ids") -> DataFrame:
     kept = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = [shared.value.decode(x.as_py() or b"") for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(raw, pa.binary())], [*kept, "decoded"])
 

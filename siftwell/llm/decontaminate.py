@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siftwell.llm.common import table
+from siftwell.llm.common import slices, table, tidy
 from siftwell.llm.shingles import grams, mix, word_hashes, words
 
 BLOCKS, RADIUS = 8, 31
@@ -45,7 +45,7 @@ _EDGE = b".,;:!?\"'()[]{}<>*_-"
 _MASKS = np.array([sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(16), r)], np.uint16)
 #: A block is compared with so many values of an index at most; of a larger index its neighbours are looked up.
 SCAN = len(_MASKS)
-_MEMO = 400_000
+_MEMO = 150_000
 
 
 class _Bare(dict):
@@ -248,7 +248,7 @@ def contaminations(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
         shared = spark.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for d, value in zip(batch.column(key), batch.column(text), strict=True):
                     for i, (similarity, start, n) in sorted(shared.value.find(value.as_py()).items()):
@@ -256,6 +256,7 @@ def contaminations(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
                             out[c].append(v)
                 if out["doc_id"]:
                     yield pa.RecordBatch.from_pydict(out, schema=typed)
+            tidy(_BARE)
 
         return docs.select(key, text).mapInArrow(run, schema)
 
@@ -270,8 +271,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: in
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not shared.value.find(v.as_py()) for v in batch.column(text)], pa.bool_()))
+            tidy(_BARE)
 
         out = out.mapInArrow(run, docs.schema)
     return out

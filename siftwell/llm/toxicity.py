@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from siftwell.llm.common import materialise, table
+from siftwell.llm.common import materialise, slices, table, tidy
 
 FIT_ROWS = 30_000
 LEXICON = 2_000
@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 STEMS = range(3, 7)
 #: Words on either side of a hit in which a second person counts as near; words of a dense stretch.
 NEAR, STRETCH = 6, 40
-MEMO = 300_000
+MEMO = 150_000
 
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestro".split())
 _PLAIN = str.maketrans("013457@$!|+*", "oieastasiiti")
@@ -130,7 +130,7 @@ class Model:
         return features(text, self.flags)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), len(FEATURES))
+        x = np.array([self.features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
         return self.steps(self.trees.margin(x))
 
 
@@ -231,9 +231,10 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = shared.value.scores(batch.column(text).to_pylist())
+        for batch in slices(batches, 1024):
+            got = shared.value.scores([t.as_py() for t in batch.column(text)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.float64())], [*names, to])
+        tidy()
 
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(to, T.DoubleType())]))
 
