@@ -96,8 +96,10 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, options: Profil
 
 
 def merge_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Groupings of two sets of rows, the first before the second, as one: counts add up, the first place stays."""
-    both = a.unionByName(b)
+    """Groupings of two sets of rows, the first before the second, as one: counts add up, the first place stays; places
+    of the second set come after all of the first."""
+    last = a.agg(F.max("first_idx").alias("last")).first()["last"]
+    both = a.unionByName(b.withColumn("first_idx", F.col("first_idx") + F.lit(0 if last is None else last + 1)))
     return both.groupBy("pos", "field", "value").agg(F.sum("n").alias("n"), F.min("first_idx").alias("first_idx"))
 
 

@@ -212,18 +212,26 @@ def verify_file(spark: SparkSession, path: str) -> DataFrame:
     return verify(files)
 
 
+def _objects(contracts: DataFrame, text: str) -> DataFrame:
+    return contracts.filter(F.schema_of_variant(F.try_parse_json(F.col(text))).startswith("OBJECT"))
+
+
 def source_fields(contracts: DataFrame, ref: str = "ref", text: str = "json") -> DataFrame:
-    """(ref, name) of the fields of source contracts, at the top or in their schemas."""
+    """(ref, name) of the fields of source contracts, at the top or in their schemas; a contract without fields has a row
+    without a name, one that is no JSON object none."""
+    contracts = _objects(contracts, text)
     c = F.from_json(F.col(text), "struct<fields:array<struct<name:string>>,schemas:array<struct<fields:array<struct<name:string>>>>>")
     inner = F.coalesce(F.flatten(F.transform(c["schemas"], lambda s: F.coalesce(s["fields"], F.array().cast("array<struct<name:string>>")))), F.array().cast("array<struct<name:string>>"))
     every = F.concat(F.coalesce(c["fields"], F.array().cast("array<struct<name:string>>")), inner)
-    return contracts.select(F.col(ref).alias("ref"), F.explode(every).alias("f")).select("ref", "f.name").distinct()
+    return contracts.select(F.col(ref).alias("ref"), F.explode_outer(every).alias("f")).select("ref", "f.name").distinct()
 
 
 def destination_fields(contracts: DataFrame, ref: str = "ref", text: str = "json") -> DataFrame:
-    """(ref, name, nullable, constraints): of fields with the same name that of the last schema counts."""
+    """(ref, name, nullable, constraints): of fields with the same name that of the last schema counts. Contracts without
+    fields and those that are no JSON object are as in source_fields()."""
+    contracts = _objects(contracts, text)
     c = F.from_json(F.col(text), DESTINATION)
-    rows = contracts.select(F.col(ref).alias("ref"), F.posexplode(c["schemas"]).alias("s", "schema")).select("ref", "s", F.posexplode("schema.fields").alias("i", "f"))
+    rows = contracts.select(F.col(ref).alias("ref"), F.posexplode_outer(c["schemas"]).alias("s", "schema")).select("ref", "s", F.posexplode_outer("schema.fields").alias("i", "f"))
     return rows.groupBy("ref", F.col("f.name").alias("name")).agg(F.max_by("f", F.struct("s", "i")).alias("f")).select("ref", "name", F.coalesce("f.nullable", F.lit(False)).alias("nullable"), F.transform("f.constraints", lambda k: k["type"]).alias("constraints"))
 
 

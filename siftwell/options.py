@@ -16,6 +16,7 @@ class ProfileOptions:
     schema: str = "public"
     include_comments: bool = False
     sample_size: int = 10_000
+    batch_size: int = 1_000  # rows that a database sends at once
 
     def __post_init__(self):
         for f in fields(self):

@@ -9,6 +9,7 @@ from siftwell.functions import cells, types
 from siftwell.operators import mapping, verify
 from siftwell.operators import profile as P
 from siftwell.options import ProfileOptions
+from siftwell.plans import contracts
 from siftwell.sources import csv, json, specs, tables
 
 
@@ -417,7 +418,7 @@ _ALL = {
     "delimiter_score": (delimiter_score, _SCORE_SQL),
     "table_profile_supplier": (table_profile_supplier, _SUPPLIER_SQL),
     "merged_profile_lineitem": (merged_profile_lineitem, _MERGED_SQL),
-}
+} | contracts.ALL
 
 
 def queries() -> dict:

@@ -88,7 +88,10 @@ class CsvSource:
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvSource:
-    """multi_line: quoted cells may hold line ends, at the price that a file isn't split among tasks."""
+    """multi_line: quoted cells may hold line ends, at the price that a file isn't split among tasks.
+
+    Of a folder every file begins with the header that its first file begins with.
+    """
     data = head(spark, path)
     encoding, bom = detect_encoding(data)
     delimiter = detect_delimiter(data[3:] if bom else data)
@@ -96,14 +99,19 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> CsvSour
     raw = spark.read.options(**options).csv(path)
     if not raw.columns:
         raise ValueError("CSV file is empty")
-    raw = with_row_index(raw)
-    names = raw.columns[:-1]
-    first = raw.orderBy("row_idx").limit(1)
-    top = first.select(F.array(*names).alias("cells"), "row_idx").select("cells", "row_idx", cells.has_header(F.col("cells")).alias("header")).first()
+    names, several = raw.columns, len(raw.inputFiles()) > 1
+    raw = with_row_index(raw.select(*names, F.col("_metadata.file_path").alias("file")) if several else raw)
+    # the first partition begins with the first row, so no more than its beginning is read
+    top = raw.select(F.array(*names).alias("cells"), "row_idx").select("cells", "row_idx", cells.has_header(F.col("cells")).alias("header")).first()
     if top is None:
         raise ValueError("CSV file is empty")
-    fields = [(c or "").strip() for c in top["cells"]] if top["header"] else cells.generated_names(len(names))
-    rows = raw.filter(F.col("row_idx") > top["row_idx"]) if top["header"] else raw
+    fields = [c or "" for c in top["cells"]] if top["header"] else cells.generated_names(len(names))
+    rows = raw
+    if top["header"] and several:
+        rows = raw.join(raw.groupBy("file").agg(F.min("row_idx").alias("row_idx")), ["row_idx"], "left_anti")
+    elif top["header"]:
+        rows = raw.filter(F.col("row_idx") > top["row_idx"])
+    rows = rows.select("row_idx", *names)
     return CsvSource(rows, fields, encoding, delimiter, bool(top["header"]), bom)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SNIFF_BYTES = 8192
@@ -24,3 +27,24 @@ def head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, fs.getFileStatus(at).getLen())))
     finally:
         stream.close()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share; on one machine any folder is."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="siftwell-")
+    return f"{root.rstrip('/')}/siftwell-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> str:
+    """Writes a small file through Spark's file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +31,27 @@ def kind_of(v: Column) -> Column:
     return F.when(v.isNull() | (s == "VOID"), "null").when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("numeric")
 
 
+def number_text(d: Column) -> Column:
+    """A double as contracts show it: whole numbers in full, others by their shortest digits, with an exponent below
+    0.0001 and from a million on (1e-07, 1.23456785e+07). Whole numbers from 2**63 on may differ in their last digits."""
+    whole = F.when(F.abs(d) < 9.2e18, d.cast("bigint").cast("string")).otherwise(F.format_string("%.0f", d))
+    shown = F.abs(d).cast("string")
+    part = lambda i: F.regexp_extract(shown, r"\A(\d+)\.(\d+)(?:E(-?\d+))?\z", i)
+    zeros = F.length(part(2)) - F.length(F.regexp_replace(part(2), r"\A0+", ""))
+    power = F.when(part(3) != "", part(3).cast("int")).when(part(1) == "0", -zeros - 1).otherwise(F.length(part(1)) - 1)
+    digits = F.regexp_replace(F.concat(part(1), part(2)), r"\A0+|0+\z", "")
+    tail = F.substring(digits, 2, 400)
+    powered = F.concat(F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    plain = F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, F.lit(400)))
+    text = F.when((power < -4) | (power >= 6), powered).when(power < 0, small).otherwise(plain)
+    return F.when(d == F.rint(d), whole).otherwise(F.concat(F.when(d < 0, "-").otherwise(""), text))
+
+
 def value_text(v: Column) -> Column:
-    """Texts as they are, numbers plainly, nested values as JSON."""
-    nested = kind_of(v).isin("object", "array")
-    return F.when(nested, F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
+    """Texts as they are, numbers by number_text(), nested values as JSON."""
+    kind = kind_of(v)
+    return F.when(kind.isin("object", "array"), F.to_json(v)).when(kind == "numeric", number_text(F.try_variant_get(v, "$", "double"))).otherwise(F.try_variant_get(v, "$", "string"))
 
 
 def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
@@ -49,32 +69,49 @@ def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
 
 def parsed_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """(line_idx, v, bad) for the lines that aren't blank; bad: neither an object nor null."""
-    text = F.trim(F.regexp_replace(F.col(line), r"\A\x{FEFF}|\r\z", ""))
+    text = cells.trimmed(F.regexp_replace(F.col(line), r"\A\x{FEFF}", ""))
     rows = lines.select(F.monotonically_increasing_id().alias("line_idx"), text.alias("text")).filter(text != "")
     v = F.try_parse_json("text")
     return rows.select("line_idx", v.alias("v"), (v.isNull() | ~kind_of(v).isin("object", "null")).alias("bad"))
 
 
-def parsed_array(spark: SparkSession, text: str) -> tuple[DataFrame, str | None]:
-    """The elements up to the first that is no object, and what is wrong with that one."""
-    decoder, at, out, issue = json.JSONDecoder(), text.index("[") + 1, [], None
+def array_elements(text: str) -> Iterator[tuple[str | None, str | None]]:
+    """(element, None) up to the first that is no object, then (None, what is wrong with that one)."""
+    decoder, at, n = json.JSONDecoder(), text.index("[") + 1, 0
     while True:
         while at < len(text) and text[at] in " \t\r\n,":
             at += 1
         if at >= len(text) or text[at] == "]":
-            break
+            return
         try:
             value, stop = decoder.raw_decode(text, at)
         except ValueError as e:
-            issue = f"row {len(out) + 1}: {e}"
-            break
+            yield None, f"row {n + 1}: {e}"
+            return
         if value is not None and not isinstance(value, dict):
-            issue = f"row {len(out) + 1}: not an object"
-            break
-        out.append((len(out), text[at:stop]))
+            yield None, f"row {n + 1}: not an object"
+            return
+        n += 1
+        yield text[at:stop], None
         at = stop
-    rows = spark.createDataFrame(out, "idx bigint, text string")
-    return rows.select("idx", F.try_parse_json("text").alias("v")), issue
+
+
+def parsed_arrays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(idx, v) of the elements and the issues, of all files below a path; an array can't be split, so a file is a task."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch.column("file").to_pylist(), batch.column("value"), strict=True):
+                found = enumerate(array_elements(value.as_py()))
+                while part := list(islice(found, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([i for i, _ in part]), pa.array([x for _, (x, _) in part], pa.string()), pa.array([y for _, (_, y) in part], pa.string())], ["file", "i", "text", "issue"])
+
+    each = files.mapInArrow(run, "file string, i bigint, text string, issue string")
+    if len(files.inputFiles()) > 1:
+        each = each.orderBy("file", "i")
+    rows = dense_index(each.filter("issue is null").select("text"))
+    return rows.select("idx", F.try_parse_json("text").alias("v")), each.filter("issue is not null").select("issue")
 
 
 def field_cells(rows: DataFrame) -> DataFrame:
@@ -115,14 +152,15 @@ def analyze_json(spark: SparkSession, path: str, options: ProfileOptions = Profi
     spark.conf.set(DUPLICATE_KEYS, "true")
     try:
         if kind == "json":
-            rows, issue = parsed_array(spark, spark.read.text(path, wholetext=True).first()["value"])
-            issues = [issue] if issue else []
-            rows = rows.limit(options.max_rows) if options.max_rows else rows
+            rows, wrong = parsed_arrays(spark, path)
+            issues = [r["issue"] for r in wrong.collect()]
+            rows = rows.filter(F.col("idx") < options.max_rows) if options.max_rows else rows
         else:
             lines = parsed_lines(spark.read.option("lineSep", "\n").text(path))
-            bad = lines.filter("bad").orderBy("line_idx")
-            number = {r["line_idx"]: None for r in bad.limit(1000).collect()}
-            issues = [f"row {i + 1}: invalid JSON object" for i in _physical(lines, list(number))]
+            bad = dense_index(lines.select("bad"), "place").filter("bad").select("place").orderBy("place")
+            # a line's number counts the rows before it; lines after the last row that is read aren't looked at
+            numbers = [r["place"] - k + 1 for k, r in enumerate(bad.collect())]
+            issues = [f"line {n}: invalid JSON object" for n in numbers if not options.max_rows or n <= options.max_rows]
             rows = dense_index(lines.filter("not bad").select("v"))
             rows = rows.filter(F.col("idx") < options.max_rows) if options.max_rows else rows
         found = sorted(json_profile(rows, options).collect(), key=lambda r: (r["first_idx"], r["field"]))
@@ -136,10 +174,3 @@ def analyze_json(spark: SparkSession, path: str, options: ProfileOptions = Profi
     data = [[show((json.loads(s["j"]) or {}).get(k)) for k in keys] for s in sample]
     return {"contract_type": "source", "source_format": kind, "source_path": path, "encoding": "utf-8", "total_rows": total, "fields": fields, "sample_data": data, "issues": issues}
 
-
-def _physical(lines: DataFrame, asked: list[int]) -> list[int]:
-    """Places among the lines that aren't blank."""
-    if not asked:
-        return []
-    placed = dense_index(lines.select("line_idx"), "place")
-    return [r["place"] for r in placed.filter(F.col("line_idx").isin(asked)).orderBy("place").collect()]

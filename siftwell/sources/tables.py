@@ -7,6 +7,7 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.functions.types import normalize_database_type, spark_type
 from siftwell.operators.profile import profile, sample_rows, with_row_index
@@ -86,8 +87,9 @@ def validation_rules(fields: DataFrame) -> DataFrame:
 
 
 def table_profile(df: DataFrame, options: ProfileOptions = ProfileOptions(), order_by: list[str] | None = None, whole: bool = False) -> DataFrame:
-    """Profiles of at most sample_size rows, or of the whole table: texts as they are, nulls alone are null, all distinct values counted, shares
-    not rounded."""
+    """Profiles of the first sample_size rows in an order (of all columns that have one, by default), or of the whole
+    table: texts as they are, nulls alone are null, all distinct values counted, shares not rounded."""
+    order_by = order_by or [f"`{f.name}`" for f in df.schema if isinstance(f.dataType, T.AtomicType)]
     rows = df if whole else (df.orderBy(*order_by) if order_by else df).limit(options.sample_size)
     return profile(rows, None, options, blank_is_null=False, numeric_range=False, round_to=None, cap_distinct=False).withColumnRenamed("total_count", "sample_size")
 
@@ -124,7 +126,7 @@ def analyze_database(spark: SparkSession, catalog: dict[str, DataFrame], read: C
     """
     fields = annotated_fields(columns_of(catalog["columns"], options.schema), constraints_of(catalog["table_constraints"], catalog["key_column_usage"], catalog["constraint_column_usage"], options.schema))
     if options.include_comments and "column_comments" in catalog:
-        fields = fields.join(F.broadcast(catalog["column_comments"].select("table_name", "name", "description")), ["table_name", "name"], "left")
+        fields = fields.join(catalog["column_comments"].select("table_name", "name", "description"), ["table_name", "name"], "left")
     else:
         fields = fields.withColumn("description", F.lit(None).cast("string"))
     held: dict[str, list[dict]] = {}
@@ -134,3 +136,38 @@ def analyze_database(spark: SparkSession, catalog: dict[str, DataFrame], read: C
     names = [r["table_name"] for r in list_tables(catalog["tables"], options.schema).collect()]
     schemas = [analyze_table(read(t), t, held.get(t), options, options.schema) for t in names]
     return {"contract_type": "destination", "id": database, "schemas": schemas, "metadata": {"schema_count": len(schemas)}}
+
+
+# The views of a database that describe its tables, and the columns read of each.
+CATALOG = {
+    "tables": "table_schema, table_name, table_type",
+    "columns": "table_schema, table_name, column_name, data_type, is_nullable, character_maximum_length, numeric_precision, numeric_scale, ordinal_position",
+    "table_constraints": "constraint_name, table_schema, table_name, constraint_type",
+    "key_column_usage": "constraint_name, table_schema, table_name, column_name, ordinal_position",
+    "constraint_column_usage": "constraint_name, table_schema, table_name, column_name",
+}
+
+
+def jdbc_reader(spark: SparkSession, url: str, properties: dict[str, str] | None = None, options: ProfileOptions = ProfileOptions()) -> Callable[[str], DataFrame]:
+    """Reads a table or a query in brackets from a database, batch_size rows at a time."""
+    return lambda what: spark.read.jdbc(url, what, properties={"fetchsize": str(options.batch_size)} | (properties or {}))
+
+
+def read_catalog(read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """The catalog frames of analyze_database() from a database's information schema."""
+    return {view: read(f"(select {columns} from information_schema.{view}) v") for view, columns in CATALOG.items()}
+
+
+def analyze_jdbc(spark: SparkSession, url: str, properties: dict[str, str] | None = None, options: ProfileOptions = ProfileOptions(), table: str | None = None) -> dict:
+    """The destination contract of a database's schema, or of one of its tables."""
+    read = jdbc_reader(spark, url, properties, options)
+    catalog = read_catalog(read)
+    if table is not None:
+        catalog["tables"] = one_table(catalog["tables"], options.schema, table)
+    return analyze_database(spark, catalog, lambda t: read(quote_identifier(options.schema, t)), sanitize_connection(url), options)
+
+
+def one_table(tables: DataFrame, schema: str, table: str) -> DataFrame:
+    if not table_exists(tables, schema, table):
+        raise ValueError(f"there is no table {table} in schema {schema}")
+    return tables.filter(F.col("table_name") == table)

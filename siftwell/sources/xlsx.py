@@ -141,7 +141,7 @@ def analyze_xlsx(spark: SparkSession, path: str, options: ProfileOptions = Profi
             if top is None:
                 raise ValueError(f"sheet {t['sheet']}: its table begins below the last row")
             width = len(top["cells"])
-            names = [(x or "").strip() for x in top["cells"]] if top["header"] else C.generated_names(width)
+            names = [x or "" for x in top["cells"]] if top["header"] else C.generated_names(width)
             body = own.filter(F.col("row_idx") > start) if top["header"] else own
             keys = [f"c{i}" for i in range(width)]
             table = body.select("row_idx", *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(k) for i, k in enumerate(keys)))
@@ -161,4 +161,4 @@ def analyze_xlsx(spark: SparkSession, path: str, options: ProfileOptions = Profi
         rows.unpersist()
     if not schemas:
         raise ValueError("no sheets with data")
-    return {"contract_type": "source", "id": path, "schemas": schemas, "metadata": {"source_format": "xlsx", "sheet_count": count}}
+    return {"contract_type": "source", "id": "excel", "schemas": schemas, "metadata": {"source_format": "xlsx", "sheet_count": count}}

@@ -130,3 +130,28 @@ def test_tables_of_a_project_and_fetching():
     with pytest.raises(ConnectionError):
         specs.analyze_url(f"{at}/none")
     server.shutdown()
+
+
+def test_references_to_contracts_without_fields(spark):
+    frame = lambda d: spark.createDataFrame(list(d.items()), "ref string, json string")
+    sources = verify.source_fields(frame({"s": '{"fields": []}', "t": "no json", "u": "{}"}))
+    destinations = verify.destination_fields(frame({"d": '{"schemas": [{"fields": []}]}', "e": "{}", "x": "[1]"}))
+    assert {r["ref"] for r in sources.collect()} == {"s", "u"} and {r["ref"] for r in destinations.collect()} == {"d", "e"}
+    rows = [(0, i, d, "id", "field", s, "a") for i, (d, s) in enumerate([("d", "s"), ("e", "u"), ("x", "t"), ("nowhere", "nowhere")])]
+    m = spark.createDataFrame(rows, "group int, position int, destination_ref string, destination_field string, source_type string, source_ref string, source_field string")
+    got = sorted((r["position"], r["rule"]) for r in verify.cross_check(m, sources, destinations).collect())
+    assert got == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_readable_schemas():
+    tree = {"type": "object", "properties": {"next": {"$ref": "#/definitions/Node"}}, "required": [], "default": 1, "description": "", "enum": None}
+    spec = specs.Swagger2({"swagger": "2.0", "definitions": {"Node": tree}})
+    shown = spec.readable(spec.resolve(tree))
+    depth = 0
+    while "properties" in shown:
+        assert shown["description"] == "" and shown["required"] == [] and "default" not in shown and "enum" not in shown
+        shown, depth = shown["properties"]["next"], depth + 1
+    assert depth == 10 and shown == {"_truncated": "max depth reached"}
+    assert spec.readable({"properties": {}}) == {"properties": {}}
+    found = specs.analyze_tables({"paths": {}, "definitions": {}}, "ref", "https://ref.supabase.co")
+    assert found["metadata"] == {"source": "supabase", "project_url": "https://ref.supabase.co", "table_count": 0}

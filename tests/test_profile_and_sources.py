@@ -137,3 +137,50 @@ def test_supplier_profile_covers_the_whole_table(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/supplier.parquet")
     got = {r["field"]: r for r in plans.queries()["table_profile_supplier"](spark, str(tmp_path)).collect()}
     assert {r["sample_size"] for r in got.values()} == {10_001} and got["s_suppkey"]["distinct_count"] == 10_001
+
+
+def test_merged_profiles_keep_the_first_set_before_the_second(spark):
+    groups = lambda values: P.group_values(P.unpivot(P.with_row_index(spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)), ["v"]))
+    merged = P.merge_profiles(groups(["x", "y"]), groups(["z"]))
+    assert {r["value"] for r in P.tracked(merged, 2).collect()} == {"x", "y"}
+    assert {r["value"] for r in P.tracked(P.merge_profiles(groups([]), groups(["z"])), 2).collect()} == {"z"}
+
+
+def test_ndjson_issues(spark, tmp_path):
+    n = J.analyze_json(spark, write(tmp_path, "n.ndjson", '{"a":1}\n \t\n{bad\n[1]\n{"a":2}\n{"a":3}\n"x"\n'))
+    assert n["total_rows"] == 3 and n["issues"] == [f"line {i}: invalid JSON object" for i in (2, 2, 4)]
+    cut = J.analyze_json(spark, write(tmp_path, "m.ndjson", '{"a":1}\n{bad\n{"a":2}\n{bad\n'), ProfileOptions(max_rows=2))
+    assert cut["total_rows"] == 2 and cut["issues"] == ["line 2: invalid JSON object"]
+    many = J.analyze_json(spark, write(tmp_path, "o.ndjson", '{"a":1}\n' + "{bad\n" * 1500))
+    assert len(many["issues"]) == 1500
+
+
+def test_folders(spark, tmp_path):
+    for name, rows in (("a", "1,x\n2,y\n"), ("b", "3,z\n")):
+        write(tmp_path / "csv" if (tmp_path / "csv").exists() or not (tmp_path / "csv").mkdir() else tmp_path, f"{name}.csv", " K ,V\n" + rows)
+    c = csv.analyze_csv(spark, str(tmp_path / "csv"))
+    assert c["total_rows"] == 3 and [f["name"] for f in c["fields"]] == [" K ", "V"]
+    (tmp_path / "json").mkdir()
+    write(tmp_path / "json", "a.json", '[{"n":1},{"n":2}]')
+    write(tmp_path / "json", "b.json", '[{"n":3,"late":true},7,{"n":4}]')
+    j = J.analyze_json(spark, str(tmp_path / "json"))
+    assert j["total_rows"] == 3 and j["issues"] == ["row 2: not an object"]
+    assert {f["name"]: f["profile"]["total_count"] for f in j["fields"]} == {"n": 3, "late": 1}
+
+
+def test_number_texts(spark, tmp_path):
+    shown = {"1e-7": "1e-07", "12345678.5": "1.23456785e+07", "1.50": "1.5", "-0.25": "-0.25", "100": "100", "1e3": "1000", "0.0001": "0.0001", "0.00012": "0.00012", "123456.75": "123456.75", "1234567.5": "1.2345675e+06", "-2.5e-9": "-2.5e-09", "0": "0", "0.001": "0.001"}
+    n = J.analyze_json(spark, write(tmp_path, "n.ndjson", "".join(f'{{"k{i}":{x}}}\n' for i, x in enumerate(shown))))
+    assert [f["profile"]["max_value"] for f in n["fields"]] == list(shown.values())
+
+
+def test_catalog_and_missing_table(spark):
+    asked = []
+    got = tables.read_catalog(lambda q: asked.append(q) or spark.range(0))
+    assert set(got) == set(tables.CATALOG) and "information_schema.columns" in asked[1] and ProfileOptions(batch_size=0).batch_size == 1000
+    held = spark.createDataFrame([("public", "a", "BASE TABLE")], "table_schema string, table_name string, table_type string")
+    assert tables.one_table(held, "public", "a").count() == 1
+    with pytest.raises(ValueError, match="no table b"):
+        tables.one_table(held, "public", "b")
+    first = tables.table_profile(spark.range(100).orderBy("id", ascending=False), ProfileOptions(sample_size=10)).first()
+    assert (first["min_value"], first["max_value"]) == ("0", "9")
