@@ -12,8 +12,8 @@ sets are compared.
 3. candidates: for components a class needs no comparison with one that it is already connected to. So each shingle's
    classes are first compared with one pivot, then, where they aren't all connected, with another. Of what is still
    unconnected the pairs of shingles with few classes are counted, class by class, from packed lists; shingles with more
-   than SMALL classes form clusters that are compared set by set, a pair of blocks a task. No step makes a row for each
-   pair of a group.
+   than SMALL classes form clusters whose prefixes, then sets, are compared a pair of blocks a task. No step makes a row
+   for each pair of a group.
    all_links() does not stop at what is connected: it counts all pairs of shingles with few classes and compares all of
    the clusters of others, so that every link is found and counted.
 4. verification: exact, on the sets of the classes that stand in a candidate pair.
@@ -25,7 +25,7 @@ the least doc_id that isn't null in it. Shingles are 64-bit hashes; classes are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise, table, text_bytes
+from siftwell.llm import shingles
+from siftwell.llm.common import materialise, slices, table, text_bytes, tidy
 from siftwell.llm.components import components
 from siftwell.llm.shingles import shingle_set
 
@@ -46,7 +47,9 @@ RANGE_BYTES = 4 << 20
 #: emitting as many; both only steer the length of prefixes.
 CHANCE, COMPARE = 0.3, 0.125
 #: Classes that share a prefix shingle beyond which they are compared by blocks of so many classes.
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK = 64, 1024
+#: Rows of prefix shingles that are listed together.
+RANGE_ROWS = 50_000
 LEVELS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 _POSTING = np.dtype([("token", "<u8"), ("kid", "<i8"), ("n", "<u4"), ("l", "<u4")])
 
@@ -119,6 +122,7 @@ def signatures(docs: DataFrame, k: int, key: str, text: str, code_bits: int, ran
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ns, pa.int32()), pa.array(kids, pa.int64()), pa.nulls(r, pa.int32()), pa.nulls(r, pa.int32()), pa.nulls(r, pa.binary()), pa.nulls(r, pa.binary())], names)
         if held:
             yield flush()
+        tidy(shingles._HASHES)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -184,10 +188,9 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, levels: np.ndarray, cod
     return s[order[: base + chosen]], chosen
 
 
-def postings(docs: DataFrame, k: int, percent: int, text: str, hot: tuple[np.ndarray, np.ndarray], code_bits: int, range_bits: int) -> DataFrame:
+def postings(docs: DataFrame, k: int, text: str, cut: Callable[[np.ndarray], tuple[np.ndarray, int]], range_bits: int) -> DataFrame:
     """Shingles that stand in the prefixes of two classes at least: (token, kid, n, l), a row for each such class, and
     the token's pivot (its least class) with its n and l."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -214,7 +217,7 @@ def postings(docs: DataFrame, k: int, percent: int, text: str, hot: tuple[np.nda
                 if len(met) >= 200_000:
                     met.clear()
                 met.add(kid)
-                tokens, level = prefix(s, percent, *shared.value, code_bits)
+                tokens, level = cut(s)
                 rows = np.zeros(len(tokens), _POSTING)
                 rows["token"], rows["kid"], rows["n"], rows["l"] = tokens, kid, len(s), level
                 held.append(rows)
@@ -224,6 +227,7 @@ def postings(docs: DataFrame, k: int, percent: int, text: str, hot: tuple[np.nda
                     yield flush()
         if held:
             yield flush()
+        tidy(shingles._HASHES)
 
     def meet(group: pa.Table) -> pa.Table:
         rows = np.concatenate([_unzip(r, m, _POSTING) for r, m in zip(group.column("rows").to_pylist(), group.column("m").to_pylist(), strict=True)])
@@ -250,9 +254,10 @@ def sets(docs: DataFrame, wanted: DataFrame, sig: DataFrame, k: int, key: str, t
     chosen = own.join(F.broadcast(reps) if few else reps, F.col("__id").eqNullSafe(F.col("doc_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             got = [s for value in batch.column("__text") if len(s := shingle_set(value.as_py(), k))]
             yield pa.RecordBatch.from_arrays([pa.array(map(class_id, got), pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["kid", "shingles"])
+        tidy(shingles._HASHES)
 
     return chosen.select("__text").mapInArrow(run, "kid bigint, shingles binary").dropDuplicates(["kid"])
 
@@ -315,24 +320,28 @@ def _rest(open_rows: DataFrame, percent: int) -> DataFrame:
         good = first[np.diff(np.r_[first, len(kid)]) >= least[first]]
         return pa.table({"a": pa.array([group.column("a")[0].as_py()] * len(good), pa.int64()), "b": pa.array(kid[good], pa.int64())})
 
-    listed = open_rows.withColumn("range", F.pmod(F.xxhash64("token"), F.lit(4096))).groupBy("range").applyInArrow(lists, "a bigint, others binary")
+    ranges = max(64, open_rows.count() // RANGE_ROWS)
+    listed = open_rows.withColumn("range", F.pmod(F.xxhash64("token"), F.lit(ranges))).groupBy("range").applyInArrow(lists, "a bigint, others binary")
     return listed.groupBy("a").applyInArrow(count, "a bigint, b bigint")
 
 
-def _start(docs: DataFrame, k: int, percent: int, key: str, text: str, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, kid) of every document and the shared prefix shingles of postings(), written."""
+def _start(docs: DataFrame, k: int, percent: int, key: str, text: str, hot: int) -> tuple[DataFrame, DataFrame, Callable[[np.ndarray], tuple[np.ndarray, int]]]:
+    """(doc_id, n, kid) of every document and the shared prefix shingles of postings(), written; and what gives a set's
+    prefix and l on an executor."""
     size = text_bytes(docs, text)
     range_bits = min(20, max(4, (size // RANGE_BYTES).bit_length()))
     code_bits = min(56, max(30, (size // 6 + 1).bit_length() + 6))
     first = materialise(signatures(docs, k, key, text, code_bits, range_bits))
     sig = first.filter("range is null").select("doc_id", "n", "kid")
     frequent = hot_codes(first.filter("range is not null"), code_bits, range_bits, hot)
-    return sig, materialise(postings(docs, k, percent, text, frequent, code_bits, range_bits))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    cut = lambda s: prefix(s, percent, *shared.value, code_bits)
+    return sig, materialise(postings(docs, k, text, cut, range_bits)), cut
 
 
 def link_classes(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, kid) of every document and (node, root) of every class that links with another."""
-    sig, alive = _start(docs, k, percent, key, text, hot)
+    sig, alive, cut = _start(docs, k, percent, key, text, hot)
 
     def checked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs, written, and those that link."""
@@ -359,11 +368,12 @@ def link_classes(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
             few = rows.join(sizes.filter(F.col("m") <= SMALL).select("token"), "token", "left_semi")
             _, found = checked(_ordered(_rest(few, percent)).join(_ordered(tested), ["a", "b"], "left_anti"))
             links = links.union(found)
-            many = rows.select("token", "kid").join(sizes.filter(F.col("m") > SMALL), "token").select("cluster", "kid").distinct()
-            many = materialise(many)
+            many = rows.select("token", "kid").join(sizes.filter(F.col("m") > SMALL), "token")
+            many = materialise(many.groupBy("kid").agg(F.sort_array(F.collect_set("cluster")).alias("clusters"), F.lit(1).cast("long").alias("w")))
             if many.limit(1).count():
-                held = sets(docs, many.select("kid").distinct(), sig, k, key, text)
-                links = links.union(materialise(_blocks(many, held, percent)))
+                held = sets(docs, many.select("kid"), sig, k, key, text)
+                found = materialise(_blocks(many, held, percent, cut, False))
+                links = links.union(found.select(F.col("kid").alias("a"), F.explode("tree").alias("b")))
     return sig, components(links)
 
 
@@ -371,50 +381,6 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _blocks(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Links within clusters of classes that share a frequent prefix shingle; members: (cluster, kid).
-
-    A cluster is cut into blocks of about BLOCK classes, and each pair of blocks is a task of its own: no task grows with
-    the cluster, and no row is made for a pair that doesn't link. Of a task's links those that connect are returned.
-    """
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("kid"), F.col("blocks")).cast("int"))
-    sent = own.select("cluster", "kid", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    sent = sent.select("cluster", "kid", "i", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        kids, side = group.column("kid").to_pylist(), group.column("i").to_numpy()
-        held = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        right = np.flatnonzero(side == q)
-        size = np.array([len(held[x]) for x in right])
-        tokens = np.concatenate([held[x] for x in right]) if len(right) else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(right)), size)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        root = list(range(len(kids)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        a, b = [], []
-        for x in np.flatnonzero(side == p) if len(right) else ():
-            lo, hi = np.searchsorted(tokens, held[x], "left"), np.searchsorted(tokens, held[x], "right")
-            count = hi - lo
-            places = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
-            both = np.bincount(owner[places], minlength=len(right))
-            for y in right[100 * both >= percent * (len(held[x]) + size - both)]:
-                if find(int(x)) != find(int(y)):
-                    root[find(int(x))] = find(int(y))
-                    a.append(kids[x])
-                    b.append(kids[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return sent.join(held, "kid").groupBy("cluster", "p", "q").applyInArrow(compare, "a bigint, b bigint")
-
-
 def all_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", hot: int = HOT, listed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, kid) of every document, and rows (kid, n_links, others, tree) of all links between classes.
 
@@ -422,7 +388,7 @@ def all_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
     of the classes it links with, is to be summed; others holds, where listed, each link in one of its two classes;
     tree holds links that connect the same classes as all do.
     """
-    sig, alive = _start(docs, k, percent, key, text, hot)
+    sig, alive, cut = _start(docs, k, percent, key, text, hot)
     copies = materialise(sig.filter("n > 0").groupBy("kid").agg(F.count("*").alias("w")))
     rows = alive.select("token", "kid", "n", "l", F.col("kid").alias("root"))
     sizes = materialise(rows.groupBy("token").agg(F.count("*").alias("m"), F.min("kid").alias("cluster")))
@@ -440,14 +406,17 @@ def all_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
     found = there.union(back)
     if many.limit(1).count():
         held = sets(docs, many.select("kid"), sig, k, key, text)
-        found = found.union(materialise(_all_blocks(many.join(copies, "kid"), held, percent, listed)))
+        found = found.union(materialise(_blocks(many.join(copies, "kid"), held, percent, cut, listed)))
     return sig, found
 
 
-def _all_blocks(many: DataFrame, held: DataFrame, percent: int, listed: bool) -> DataFrame:
-    """All links within clusters as in all_links(); many: (kid, clusters, w). Blocks are paired as in _blocks().
+def _blocks(many: DataFrame, held: DataFrame, percent: int, cut: Callable[[np.ndarray], tuple[np.ndarray, int]], listed: bool) -> DataFrame:
+    """All links within clusters of classes that share a frequent prefix shingle, as in all_links(); many: (kid, clusters,
+    w), clusters sorted.
 
-    A pair that stands in several clusters counts in the least of them.
+    A cluster is cut into blocks of about BLOCK classes, and each pair of blocks is a task of its own: no task grows with
+    the cluster, and no row is made for a pair. Within a task, too, a pair must share min(l, l') prefix shingles before
+    its sets are compared. A pair that stands in several clusters counts in the least of them.
     """
     members = many.select("kid", "clusters", "w", F.explode("clusters").alias("cluster"))
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -464,12 +433,11 @@ def _all_blocks(many: DataFrame, held: DataFrame, percent: int, listed: bool) ->
         within = np.zeros((len(kids), len(place)), bool)
         for x, cs in enumerate(of):
             within[x, [place[c] for c in cs]] = True
-        right = np.flatnonzero(side == q)
+        left, right = np.flatnonzero(side == p), np.flatnonzero(side == q)
         size = np.array([len(held[x]) for x in right], np.int64)
-        tokens = np.concatenate([held[x] for x in right]) if len(right) else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(right)), size)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
+        prefixes, levels = zip(*(cut(s) for s in held), strict=True)
+        level = np.array([levels[x] for x in right], np.int64)
+        whole, begun = _Index([held[x] for x in right]), _Index([prefixes[x] for x in right])
         root = list(range(len(kids)))
 
         def find(x: int) -> int:
@@ -480,13 +448,15 @@ def _all_blocks(many: DataFrame, held: DataFrame, percent: int, listed: bool) ->
         total = np.zeros(len(kids), np.int64)
         others: list[list[int]] = [[] for _ in kids]
         tree: list[list[int]] = [[] for _ in kids]
-        for x in np.flatnonzero(side == p) if len(right) else ():
-            lo, hi = np.searchsorted(tokens, held[x], "left"), np.searchsorted(tokens, held[x], "right")
-            count = hi - lo
-            places = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
-            both = np.bincount(owner[places], minlength=len(right))
-            near = (100 * both >= percent * (len(held[x]) + size - both)) & ((within[x] & within[right]).argmax(axis=1) == place[cluster])
-            met = right[near & (right > x)] if p == q else right[near]
+        for x in left if len(right) else ():
+            near = begun.shared(prefixes[x]) >= np.minimum(level, levels[x])
+            near &= (within[x] & within[right]).argmax(axis=1) == place[cluster]
+            if p == q:
+                near &= right > x
+            if not near.any():
+                continue
+            both = whole.shared(held[x])
+            met = right[near & (100 * both >= percent * (len(held[x]) + size - both))]
             total[x] += weight[met].sum()
             total[met] += weight[x]
             if listed:
@@ -502,6 +472,23 @@ def _all_blocks(many: DataFrame, held: DataFrame, percent: int, listed: bool) ->
     return sent.join(held, "kid").groupBy("cluster", "p", "q").applyInArrow(compare, "kid bigint, n_links bigint, others array<bigint>, tree array<bigint>")
 
 
+class _Index:
+    """Which of some sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(self.n), [len(s) for s in sets])[order]
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        """For each set the number of shingles that s shares with it."""
+        lo, hi = np.searchsorted(self.tokens, s, "left"), np.searchsorted(self.tokens, s, "right")
+        count = hi - lo
+        places = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
+        return np.bincount(self.owner[places], minlength=self.n)
+
+
 def class_links(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, kid) of every document, and all links (a, b) between different classes, each once."""
     sig, found = all_links(docs, k, percent, key, text, hot, listed=True)
