@@ -51,19 +51,32 @@ def field_stats(groups: DataFrame, numeric_range: bool = True, round_to: int | N
     numeric_range: the range is by number where every value is one, and shows the first text of the extreme number.
     """
     known = F.col("value").isNotNull()
-    number = cells.parse_numeric(F.col("value"))
-    first = F.struct(number.alias("number"), F.col("first_idx"))
-    out = groups.groupBy("pos", "field").agg(
+    kind = cells.rank_of(cells.classify(F.col("value")))
+    # each value is read once, below the aggregation
+    parsed = groups.select("pos", "field", "value", "n", "first_idx", kind.alias("kind"), *([cells.parse_numeric(F.col("value")).alias("number")] if numeric_range else []))
+    numbers = []
+    if numeric_range:
+        number = F.col("number")
+        first, last = F.struct(number, F.col("first_idx")), F.struct(number, -F.col("first_idx"))
+        numbers = [
+            F.min_by("value", F.when(number.isNotNull(), first)).alias("num_min"),
+            F.max_by("value", F.when(number.isNotNull(), last)).alias("num_max"),
+            F.bool_and(F.when(known, number.isNotNull())).alias("all_numbers"),
+        ]
+    # minima of texts alone would be aggregated by sorting all values; with a list among the aggregates, an empty one,
+    # the few groups are kept in a hash table instead
+    none = F.size(F.collect_list(F.lit(None).cast("int")))
+    out = parsed.groupBy("pos", "field").agg(
         F.sum("n").alias("total_count"),
         F.sum(F.when(~known, F.col("n")).otherwise(0)).alias("null_count"),
-        F.count("value").alias("distinct_count"),
+        (F.count("value") + none).alias("distinct_count"),
         F.min("value").alias("lex_min"),
         F.max("value").alias("lex_max"),
-        F.min_by("value", F.when(number.isNotNull(), first)).alias("num_min"),
-        F.max_by("value", F.when(number.isNotNull(), F.struct(number.alias("number"), (-F.col("first_idx")).alias("first_idx")))).alias("num_max"),
-        F.bool_and(F.when(known, number.isNotNull())).alias("all_numbers"),
-        F.max(cells.rank_of(cells.classify(F.col("value")))).alias("rank"),
+        F.max("kind").alias("rank"),
+        *numbers,
     )
+    if not numeric_range:
+        out = out.withColumns({"num_min": F.lit(None).cast("string"), "num_max": F.lit(None).cast("string")})
     by_number = F.col("all_numbers") if numeric_range else F.lit(False)
     share = F.when(F.col("total_count") > 0, F.col("null_count") / F.col("total_count") * 100).otherwise(0.0)
     return out.select(
