@@ -8,6 +8,7 @@ from siftwell.llm import bpe, decontaminate, fingerprint, jaccard_join, ppm, quo
 def queries() -> dict:
     return {
         "op1_quote_linking": quotes.op1_quote_linking,
+        "quoted_conversations": quotes.quoted_conversations,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bounded_ring": sharding.op4_bounded_ring,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quote_linking": quotes.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_quote_linking": quotes.ORACLE_SQL, "quoted_conversations": quotes.QUOTED_SQL, "op9_url_filter": url_filter.ORACLE_SQL}

@@ -3,7 +3,7 @@
 Lines that begin with > marks are quotations, their level the number of marks. Lines of one level that follow each other
 without a blank line are a passage. Passages and single lines are normalised (lower case, white space folded) and hashed;
 a quoted one is joined to the first message of the conversation that said the same itself, before the quoting
-message. A message replies to the message that most of its least-level linked quotation (in characters) comes from, the
+message, and the two texts are compared. Only conversations in which something is quoted are read for that. A message replies to the message that most of its least-level linked quotation (in characters) comes from, the
 later one among equals. Attribution lines before a quotation ("... wrote:") and the quotations are left out of the text.
 
 Order: a message that replies to none begins a thread; threads follow each other by their first turn, messages in a
@@ -12,9 +12,9 @@ it is found by pointer doubling, in as many rounds as the binary logarithm of th
 gathered in one task: rows carry their order, and `in_order` sorts by ranges that may cut a conversation.
 
 Null texts are empty messages. Messages with a null conversation or turn stay, unlinked, as threads of their own.
-Passages and lines of any length but the empty ones are linked; their length only weighs votes. ORACLE_SQL links those of
-12 characters at least, and gives the same rows where no shorter one is quoted. Repeated (conversation, turn) rows stay each; a reply to
-such a turn is to either. Columns besides the four named are not returned.
+Passages and lines of any length but the empty ones are linked; their length only weighs votes. Repeated (conversation,
+turn) rows stay each; a reply to such a turn is to either. A very long text costs time in proportion to its lines. An
+empty table gives an empty result. Columns besides the four named are not returned.
 """
 
 from __future__ import annotations
@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import materialise, table
 
 _MARKS = r"\A[ \t]*(?:>[ \t]?)+"
+#: Stand between passages while they are put together, and count as blanks in comparisons.
+_SIGNS = "\x01\x02"
+#: Finds every text with a quotation, and a few others.
+_QUOTES = r"(?m)^[ \t]*>"
 _WROTE = r"(?i)\A[^\n>]{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*\z"
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, _SIGNS, "  ")), r"\s+", " "))
 
 
 def parsed(text: Column) -> Column:
@@ -41,25 +45,31 @@ def parsed(text: Column) -> Column:
 
 def passages(lines: Column) -> Column:
     """Array of (level, text), from runs of lines of one level without a blank one between."""
-    start, cut = "\x01", "\x02"
+    start, cut = _SIGNS
 
     def piece(x: Column, i: Column) -> Column:
         before = F.get(lines, i - 1)
-        new = F.concat(F.lit(start), x["level"].cast("string"), F.lit(cut), x["body"])
+        body = F.translate(x["body"], _SIGNS, "  ")
+        new = F.concat(F.lit(start), x["level"].cast("string"), F.lit(cut), body)
         goes_on = (i > 0) & (before["level"] == x["level"]) & (F.trim(before["body"]) != "") & (F.trim(x["body"]) != "")
-        return F.when(goes_on, F.concat(F.lit("\n"), x["body"])).otherwise(new)
+        return F.when(goes_on, F.concat(F.lit("\n"), body)).otherwise(new)
 
     runs = F.split(F.array_join(F.transform(lines, piece), ""), start)
     return F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.struct(F.substring_index(r, cut, 1).cast("int").alias("level"), F.substring_index(r, cut, -1).alias("text")))
 
 
-def _units(source: Column, quoted: bool) -> Column:
-    fit = F.filter(source, lambda u: ((u["level"] > 0) == F.lit(quoted)) & (u["text"] != ""))
-    return F.array_distinct(fit)
+def _units(read: DataFrame, quoted: bool) -> DataFrame:
+    """(conv_id, turn, level, text, h) of what each message quotes or says, once each."""
+    fit = F.filter("units", lambda u: ((u["level"] > 0) == F.lit(quoted)) & (u["text"] != ""))
+    # as texts, which array_distinct takes from a hash table
+    told = F.array_distinct(F.transform(fit, lambda u: F.concat(u["level"].cast("string"), F.lit(" "), u["text"])))
+    each = read.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(told).alias("u"))
+    each = each.select("conv_id", "turn", F.substring_index("u", " ", 1).cast("int").alias("level"), F.expr("substring(u, instr(u, ' ') + 1)").alias("text"))
+    return each.withColumn("h", F.xxhash64("text"))
 
 
 def messages(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "\x01\x02", "  ")
+    plain = F.coalesce(F.col(text), F.lit(""))
     out = chats.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), parsed(plain).alias("lines"))
     out = out.withColumn("runs", passages(F.col("lines")))
     lines = F.transform("lines", lambda x: F.struct(x["level"].cast("int").alias("level"), normal(x["body"]).alias("text")))
@@ -71,14 +81,16 @@ def messages(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> Da
     return out.select("conv_id", "turn", "role", F.trim(F.regexp_replace(F.regexp_replace(whole, r"\A\s+|\s+\z", ""), r"\n{3,}", "\n\n")).alias("text"), F.size(F.filter("runs", lambda r: r["level"] > 0)).alias("n_quotes"), units.alias("units"))
 
 
-def replies(read: DataFrame) -> DataFrame:
+def replies(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """(conv_id, turn, parent) of the messages that quote an earlier one."""
-    own = read.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "units")
-    quoted = own.select("conv_id", "turn", F.explode(_units(F.col("units"), True)).alias("u"))
-    quoted = quoted.select("conv_id", "turn", "u.level", F.xxhash64("u.text").alias("h"), F.length("u.text").alias("chars"))
-    said = own.select("conv_id", "turn", F.explode(_units(F.col("units"), False)).alias("u")).groupBy("conv_id", F.xxhash64("u.text").alias("h")).agg(F.min("turn").alias("source"))
-    linked = quoted.join(said, ["conv_id", "h"]).filter("source < turn")
-    votes = linked.groupBy("conv_id", "turn", "level", "source").agg(F.sum("chars").alias("chars"))
+    quoted = _units(messages(chats.filter(F.col(text).rlike(_QUOTES)), conv, turn, role, text), True)
+    quoted = materialise(quoted)
+    asked = quoted.select(F.col("conv_id").alias(conv)).distinct()
+    said = _units(messages(chats.join(asked, conv, "left_semi"), conv, turn, role, text), False)
+    said = said.join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
+    said = said.groupBy("conv_id", "h", "text").agg(F.min("turn").alias("source"))
+    linked = quoted.join(said, ["conv_id", "h", "text"]).filter("source < turn")
+    votes = linked.groupBy("conv_id", "turn", "level", "source").agg(F.sum(F.length("text")).alias("chars"))
     return votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "chars", "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("parent"))
 
 
@@ -97,7 +109,7 @@ def chains(found: DataFrame) -> DataFrame:
 def link(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, thread (its first turn), depth, turn, parent, role, text without quotations, n_quotes; a row a message."""
     read = messages(chats, conv, turn, role, text)
-    found = materialise(replies(read))
+    found = materialise(replies(chats, conv, turn, role, text))
     out = read.select("conv_id", "turn", "role", "text", "n_quotes")
     deep = chains(found).join(found, ["conv_id", "turn"])
     out = out.join(deep, ["conv_id", "turn"], "left")
@@ -112,7 +124,22 @@ def in_order(linked: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "conversations"))
+    return in_order(link(table(spark, sf_dir, "conversations")))
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over messages that quote the ones before them: whole, in capitals, nested, with words of their own."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = lambda n: chats.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"t{n}"))
+    rows = chats.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    return in_order(link(rows.select("conv_id", "turn", "role", F.expr(_QUOTING).alias("text"))))
+
+
+#: An expression of both engines; t1 and t2 are the texts one and two turns before.
+_QUOTING = """CASE WHEN turn % 5 = 1 AND t1 IS NOT NULL THEN concat('Someone wrote:', chr(10), '> ', replace(t1, chr(10), concat(chr(10), '> ')), chr(10), chr(10), text)
+     WHEN turn % 5 = 2 AND t2 IS NOT NULL THEN concat('> > ', replace(upper(t2), chr(10), concat(chr(10), '> > ')), chr(10), '>', replace(t1, chr(10), concat(chr(10), '>')), chr(10), text)
+     WHEN turn % 5 = 3 AND t2 IS NOT NULL THEN concat('> ', replace(t2, ' ', '  '), chr(10), text)
+     WHEN turn % 5 = 4 AND t1 IS NOT NULL THEN concat('> ', t1, ' and more', chr(10), text) ELSE text END"""
 
 
 ORACLE_SQL = r"""
@@ -128,7 +155,7 @@ said AS (SELECT id, string_agg(body, chr(10) ORDER BY i) AS text FROM w
          WHERE level = 0 AND NOT (following > 0 AND regexp_matches(body, '(?i)^[^\n>]{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$')) GROUP BY id),
 units AS (SELECT DISTINCT id, level, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS text FROM
           (SELECT id, level, text FROM runs UNION ALL SELECT id, level, body FROM v UNION ALL SELECT id, 0, text FROM said)),
-known AS (SELECT u.*, conv_id, turn FROM units u JOIN m USING (id) WHERE length(u.text) >= 12 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+known AS (SELECT u.*, conv_id, turn FROM units u JOIN m USING (id) WHERE u.text <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
 source AS (SELECT conv_id, text, min(turn) AS source FROM known WHERE level = 0 GROUP BY conv_id, text),
 votes AS (SELECT k.conv_id, k.turn, k.level, source, sum(length(k.text)) AS chars FROM known k JOIN source s ON k.conv_id = s.conv_id AND k.text = s.text AND source < k.turn
           WHERE k.level > 0 GROUP BY ALL),
@@ -141,3 +168,7 @@ SELECT m.conv_id, coalesce(t.root, m.turn) AS thread, coalesce(t.depth, 0) AS de
        (SELECT count(*) FROM runs WHERE runs.id = m.id AND level > 0) AS n_quotes
 FROM m LEFT JOIN said s USING (id) LEFT JOIN top t ON m.conv_id = t.conv_id AND m.turn = t.turn
 """
+
+QUOTED_SQL = ORACLE_SQL.replace("WITH RECURSIVE m AS", f"""WITH RECURSIVE quoting AS (SELECT conv_id, turn, role, {_QUOTING} AS text FROM conversations
+  LEFT JOIN (SELECT conv_id, turn + 1 AS turn, text AS t1 FROM conversations) USING (conv_id, turn) LEFT JOIN (SELECT conv_id, turn + 2 AS turn, text AS t2 FROM conversations) USING (conv_id, turn)),
+m AS""").replace("FROM conversations),\nl AS", "FROM quoting),\nl AS")

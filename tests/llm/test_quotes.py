@@ -62,3 +62,24 @@ def test_short_messages_are_linked(spark):
     got = {(r["conv_id"], r["turn"]): (r["parent"], r["thread"], r["depth"]) for r in quotes.link(chats(spark, rows)).collect()}
     assert got[1, 1] == (0, 0, 1) and got[1, 2] == (1, 0, 2) and got[1, 3] == (None, 3, 0)
     assert got[2, 1] == (0, 0, 1) and got[2, 2] == (None, 2, 0) and got[2, 3] == (2, 2, 1)
+
+
+def test_long_texts_and_control_characters(spark):
+    lines = [f"line {i} of a long text" for i in range(20_000)]
+    rows = [(1, 0, "a", "\n".join(lines)), (1, 1, "b", "\n".join("> " + x for x in lines) + "\nread it\x01all\x02now"), (1, 2, "c", "> read it all now\nwell")]
+    got = {r["turn"]: r for r in quotes.link(chats(spark, rows)).collect()}
+    assert (got[1]["parent"], got[1]["n_quotes"], got[1]["text"]) == (0, 1, "read it\x01all\x02now")
+    assert (got[2]["parent"], got[2]["depth"]) == (1, 2) and len(got[0]["text"]) == len(rows[0][3])
+
+
+def test_a_tie_goes_to_the_later_message(spark):
+    rows = [(1, 0, "a", "same size a"), (1, 1, "b", "same size b"), (1, 2, "c", "> same size a\n\n> same size b\nboth"), (1, 3, "d", "> same size b\n> same size b\ntwice")]
+    got = {r["turn"]: r["parent"] for r in quotes.link(chats(spark, rows)).collect()}
+    assert got == {0: None, 1: None, 2: 1, 3: 1}
+
+
+def test_built_quotations_are_found(spark, tmp_path):
+    rows = [(c, t, "u", f"message {t} of talk {c}\nwith a second line") for c in range(3) for t in range(6)]
+    chats(spark, rows).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["parent"] for r in quotes.quoted_conversations(spark, str(tmp_path)).collect()}
+    assert all([got[c, t] for t in range(6)] == [None, 0, 1, 1, 3, None] for c in range(3))
