@@ -133,3 +133,48 @@ def test_long_dull_texts_have_a_feature():
         short, long = (fingerprint.features((pattern * n)[:n].encode(), rank) for n in (fingerprint.STRETCH, 2 * fingerprint.STRETCH + 999))
         assert len(short) == len(long) == 1 and short[0] == long[0]
         assert len(fingerprint.digest(pattern * fingerprint.STRETCH * 2, rank))
+
+
+def test_digests_equal_brute_force():
+    whole = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & whole
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & whole
+        return h ^ h >> 31
+
+    rng = random.Random(6)
+    rank = fingerprint.ranks(np.array([rng.randrange(1000) for _ in range(fingerprint.BINS)]))
+    texts = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (96, 130, 700, 800, 3000)] + ["ab" * 700, "x" * 200, "some words, " * 40]
+    for text in texts:
+        raw = text.encode()
+        windows = [raw[i : i + fingerprint.WINDOW] for i in range(len(raw) - fingerprint.WINDOW + 1)]
+        rare = [int(rank[sum(int(fingerprint._GAIN[1 : c + 1].sum()) for c in Counter(w).values()) // fingerprint._STEP]) for w in windows]
+        share = 1 if len(raw) >= fingerprint.SHORT else 4
+        run = 1
+        while 2 * run <= min(fingerprint.POPULAR // share, len(windows)):
+            run *= 2
+        wins = Counter(min(range(i, i + run), key=lambda j: (rare[j], j)) for i in range(len(windows) - run + 1))
+        chosen = [i for i in range(len(windows)) if wins[i] >= fingerprint.THRESHOLD // share and rare[i] < fingerprint.BINS] or [min(range(len(windows)), key=lambda j: (rare[j], j))]
+        filters = [set() for _ in range(-(-len(chosen) // fingerprint.FEATURES))]
+        for n, i in enumerate(chosen):
+            h = 0
+            for j in range(fingerprint.WINDOW // 8):
+                h = mixed(h ^ int.from_bytes(windows[i][8 * j : 8 * j + 8], "little") ^ j + 1)
+            filters[n // fingerprint.FEATURES].update(h >> 11 * j & fingerprint.FILTER_BITS - 1 for j in range(fingerprint.HASHES))
+        got = [set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in fingerprint.digest(text, rank)]
+        assert got == filters
+
+
+def test_neighbours_of_null_and_repeated_ids(spark):
+    rows = [*ROWS, (None, "another without an id"), (3, "id again"), (3, "z" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = df.select("*", F.xxhash64("text").alias("h")).collect()
+    ordered.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"] or ""))
+    want = []
+    for i, r in enumerate(ordered):
+        own, after = r["text"] or "", ordered[(i + 1) % len(ordered)]["text"] or ""
+        edited = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        want.append((str(r["doc_id"]), len(own), hashlib.sha256(edited.encode()).hexdigest()))
+    out = fingerprint.compare_edited(df, fingerprint.rarities(df)).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in out) == sorted(want)

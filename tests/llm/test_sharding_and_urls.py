@@ -1,7 +1,11 @@
 import random
 import re
+import struct
 import zlib
 
+import pytest
+import xxhash
+
 from siftwell.llm import sharding, url_filter
 from siftwell.llm.url_filter import UrlRule
 
@@ -72,3 +76,42 @@ def test_wildcards_and_no_rules(spark):
     got = url_filter.judge_urls(pages, [UrlRule("a.com", "/ads/*/banner", "block")], keep=["page_id"]).collect()
     assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "allow"}
     assert {r["verdict"] for r in url_filter.judge_urls(pages, [], keep=["page_id"]).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize(("shards", "slack"), [(8, 0.0), (3, 0.25)])
+def test_ring_equals_a_walk_row_by_row(spark, shards, slack):
+    rows = [(i, f"text {i}" * (i % 5)) for i in range(400)] + [(None, "x"), (None, "x"), (None, None), (7, "again"), (7, "again"), (500, "long " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in sharding.shard(df, shards, slack=slack).collect())
+
+    # every row by itself: its point, its place in ring order, and from there clockwise to a shard with room
+    points = sharding.ring(shards, 64)
+    capacity = sharding.bounds(len(rows), shards, slack)
+    bits = max(10, (len(rows) // sharding.CELL_ROWS).bit_length() + 1)
+    held = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        at = (42 if d is None else xxhash.xxh64_intdigest(struct.pack("<q", d), seed=42)) >> (64 - sharding.RING_BITS)
+        before = [i for i, (p, _) in enumerate(points) if p <= at]
+        arc = before[-1] if before else len(points) - 1
+        crc = zlib.crc32(raw)
+        held.append((arc, not before, at >> (sharding.RING_BITS - bits), crc % sharding.SUBCELLS, at, d is not None, d or 0, crc, len(raw) + 1, d))
+    held.sort(key=lambda h: h[:9])
+    filled, placed, left = [0] * shards, [], []
+
+    def put(h, shard):
+        placed.append((-1 if h[9] is None else h[9], h[7], h[8], shard, filled[shard]))
+        filled[shard] += 1
+
+    for h in held:
+        owner = points[h[0]][1]
+        if filled[owner] < capacity[owner]:
+            put(h, owner)
+        else:
+            left.append(h)
+    for h in left:
+        arc = h[0]
+        while filled[points[arc][1]] >= capacity[points[arc][1]]:
+            arc = (arc + 1) % len(points)
+        put(h, points[arc][1])
+    assert got == sorted(placed)
