@@ -8,17 +8,21 @@ log10 probabilities of its bytes and its end.
 
 Nothing that grows with the corpus is broadcast or sent to the driver. Documents are dealt into blocks of about
 BLOCK_BYTES by a hash of id and text. A block asks for the distinct (context, symbol) codes and words that it holds and
-brings its own training counts; askings meet in ranges. A range holds all contexts with the same last two symbols, so it
-has all the longer contexts' nodes; the pair and single counts are a fixed 257 x 257 table. The range answers each block
-with probabilities, in the order of its codes, and the block's documents add them up. Words (for the base score) are
+brings its own training counts; askings meet in ranges. A range holds all contexts with the same last two symbols, or,
+where two symbols are frequent (as "e" and a blank are), with the same last three, so it has all the longer contexts'
+nodes. What the shorter contexts need is in fixed tables: 257 x 257 counts of pairs, and for each frequent pair, HOT of
+them at most, 257 counts of what follows. The range answers each block with probabilities, in the order of its codes, and
+the block's documents add them up. Words (for the base score) are
 counted the same way. Askings are compressed; only the documents themselves move twice.
 
-Null texts are empty: one token, the end. A null doc_id is in training. Repeated rows count and are scored each.
+Null texts are empty: one token, the end. A null doc_id is in training. Repeated rows count and are scored each; those
+with the same id and text share a block. A very long text is taken a stretch at a time. An empty table gives an empty
+result. Other columns aren't returned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ ORDER = 5
 BLOCK_BYTES = 6 << 20
 #: Positions of text handled at once.
 STRETCH = 1_000_000
+#: Frequent pairs of symbols at most whose contexts are dealt by three symbols.
+HOT = 4096
 S = 257  # bytes and the boundary, 0, which pads the beginning and ends a text
 END = b""  # no word is empty
 _ASK = "range int, kind string, block int, m int, codes binary, counts binary"
@@ -129,14 +135,10 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def range_of(codes: np.ndarray, kind: str, ranges: int) -> np.ndarray:
-    key = codes // np.uint64(S) % np.uint64(S * S) if kind == "gram" else codes
-    return (mix(key) % np.uint64(ranges)).astype(np.int64)
-
-
-def split(codes: np.ndarray, kind: str, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+def split(codes: np.ndarray, kind: str, ranges: int, low: Low) -> Iterator[tuple[int, np.ndarray]]:
     """(range, places) for ascending codes."""
-    at = range_of(codes, kind, ranges)
+    key = low.key_of(codes) if kind == "gram" else codes
+    at = (mix(key) % np.uint64(ranges)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     cuts = np.flatnonzero(np.diff(at[order])) + 1
     for part in np.split(order, cuts):
@@ -157,14 +159,27 @@ def gather(group: pa.Table, text: str) -> tuple[_Counts, _Counts]:
 
 
 class Low:
-    """Order 1 and order 0 from the table of symbol pairs."""
+    """Order 1 and order 0 from the table of symbol pairs, and order 2 of the frequent pairs."""
 
-    def __init__(self, pairs: np.ndarray):
+    def __init__(self, pairs: np.ndarray, frequent: np.ndarray, after: np.ndarray):
+        """frequent: the numbers of the frequent pairs; after: for each of them the counts of the symbols that follow."""
         self.c1 = pairs.reshape(S, S)
         self.c0 = self.c1.sum(axis=0)
         self.n1, self.d1 = self.c1.sum(axis=1), (self.c1 > 0).sum(axis=1)
         self.n0, self.d0 = int(self.c0.sum()), int((self.c0 > 0).sum())
         self.e0 = (self.c1 > 0) @ self.c0  # order-0 counts of the symbols that each order-1 context excludes
+        self.place = np.full(S * S, -1)
+        self.place[frequent] = np.arange(len(frequent))
+        # the last row is that of no frequent pair
+        self.c2 = np.concatenate([after.reshape(-1, S), np.zeros((1, S), np.int64)])
+        self.n2, self.d2 = self.c2.sum(axis=1), (self.c2 > 0).sum(axis=1)
+        self.e2 = ((self.c2 > 0) * self.c1[np.r_[frequent % S, 0]]).sum(axis=1)
+
+    def key_of(self, codes: np.ndarray) -> np.ndarray:
+        """What codes of one range have in common: the context's last two symbols, or three."""
+        pair = codes // np.uint64(S) % np.uint64(S * S)
+        third = codes // np.uint64(S**3) % np.uint64(S) + np.uint64(1)
+        return pair * np.uint64(S + 1) + np.where(self.place[pair.astype(np.int64)] >= 0, third, np.uint64(0))
 
 
 def _look(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +190,7 @@ def _look(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probabilities(asked: np.ndarray, codes: np.ndarray, counts: np.ndarray, low: Low, order: int = ORDER) -> np.ndarray:
-    """log10 of each asked code's probability, given the training codes with the same last two context symbols."""
+    """log10 of each asked code's probability, given the training codes with the same key_of()."""
     asked = asked.astype(np.int64)
     codes = codes.astype(np.int64)
     out = np.zeros(len(asked))
@@ -194,6 +209,9 @@ def probabilities(asked: np.ndarray, codes: np.ndarray, counts: np.ndarray, low:
             n = np.where(known, n_of[at] if len(n_of) else 0, 0)
             d = np.where(known, d_of[at] if len(d_of) else 0, 0)
             c = np.where(found, level_counts[place] if len(level_counts) else 0, 0)
+            if k == 2:
+                hot = low.place[node]
+                n, d, c = (np.where(hot >= 0, x, y) for x, y in ((low.n2[hot], n), (low.d2[hot], d), (low.c2[hot, asked % S], c)))
         elif k == 1:
             n, d, c = low.n1[node], low.d1[node], low.c1[node, asked % S]
         else:
@@ -208,6 +226,9 @@ def probabilities(asked: np.ndarray, codes: np.ndarray, counts: np.ndarray, low:
         # what the next shorter context must leave out
         if k >= 3:
             shorter, shorter_counts = summed(level_codes % S**k, level_counts)
+            if k == 3:
+                hot = low.place[shorter // S]
+                shorter_counts = np.where(hot >= 0, low.c2[hot, shorter % S], shorter_counts)
             below = shorter_counts[np.searchsorted(shorter, level_codes % S**k)] if len(level_codes) else level_counts
             e_of = np.add.reduceat(below, first) if len(first) else below
             gone_n, gone_d = np.where(known, e_of[at] if len(e_of) else 0, 0), d
@@ -215,48 +236,74 @@ def probabilities(asked: np.ndarray, codes: np.ndarray, counts: np.ndarray, low:
         elif k == 2:
             below = low.c1[level_codes // S % S, level_codes % S] if len(level_codes) else level_counts
             e_of = np.add.reduceat(below, first) if len(first) else below
-            gone_n, gone_d = np.where(known, e_of[at] if len(e_of) else 0, 0), d
+            gone_n, gone_d = np.where(hot >= 0, low.e2[hot], np.where(known, e_of[at] if len(e_of) else 0, 0)), d
         elif k == 1:
             gone_n, gone_d = low.e0[node], d
     out[open_] -= np.log10(S - low.d0)
     return out
 
 
-def pair_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """The 257 x 257 table of (symbol before, symbol) in the training documents."""
+def _trained(batches: Iterator[pa.RecordBatch], text: str, order: int) -> Iterator[np.ndarray]:
+    """Codes of the training documents, about a stretch at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for value, train in zip(batch.column(text), batch.column("__train").to_pylist(), strict=True):
+            sym = symbols(value.as_py()) if train else ()
+            for a in range(0, len(sym) - ORDER, STRETCH):
+                held.append(codes_of(sym[a : a + ORDER + STRETCH], order))
+                size += len(held[-1])
+                if size >= STRETCH:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _tabled(docs: DataFrame, text: str, order: int, size: int, place: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Counts of the training documents' codes in a table of `size` numbers, by their places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(S * S, np.int64)
-        for batch in batches:
-            for value, train in zip(batch.column(text), batch.column("__train").to_pylist(), strict=True):
-                if train:
-                    sym = symbols(value.as_py())
-                    for a in range(0, len(sym) - ORDER, STRETCH):
-                        total += np.bincount(codes_of(sym[a : a + ORDER + STRETCH], 1), minlength=S * S) if len(sym) > 60_000 else 0
-                    if len(sym) <= 60_000:
-                        np.add.at(total, codes_of(sym, 1), 1)
+        total = np.zeros(size, np.int64)
+        for codes in _trained(batches, text, order):
+            total += np.bincount(place(codes), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "c"])
 
-    rows = docs.select(text, "__train").mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")).collect()
-    out = np.zeros(S * S, np.int64)
-    for r in rows:
-        out[r["code"]] = r["c"]
+    rows = docs.select(text, "__train").mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[rows.column("code").to_numpy()] = rows.column("c").to_numpy()
     return out
 
 
+def low_orders(docs: DataFrame, text: str, ranges: int, most: int = HOT) -> Low:
+    """The tables of short contexts. A pair is frequent if it makes half a range by itself; `most` of them at most."""
+    pairs = _tabled(docs, text, 1, S * S, lambda codes: codes)
+    order = np.argsort(-pairs, kind="stable")[:most]
+    frequent = np.sort(order[2 * ranges * pairs[order] > pairs.sum()])
+    if not len(frequent):
+        return Low(pairs, frequent, np.zeros(0, np.int64))
+    known = np.full(S * S, -1)
+    known[frequent] = np.arange(len(frequent))
+
+    def place(codes: np.ndarray) -> np.ndarray:
+        at = known[codes // S]
+        return (at * S + codes % S)[at >= 0]
+
+    return Low(pairs, frequent, _tabled(docs, text, 2, len(frequent) * S, place))
+
+
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score for every row; train: which rows are learnt from."""
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"), F.coalesce(train, F.lit(True)).alias("__train"))
     blocks = max(1, -(-text_bytes(own, "__text") // block_bytes))
     ranges = max(16, blocks)
-    low = own.sparkSession.sparkContext.broadcast(Low(pair_counts(own, "__text")))
+    low = own.sparkSession.sparkContext.broadcast(low_orders(own, "__text", ranges))
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(blocks)).cast("int"))
 
     def ask(group: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("range", "kind", "m", "codes", "counts")}
         for kind, held in zip(("gram", "word"), gather(group, "__text"), strict=True):
-            for r, places in split(held.codes, kind, ranges):
+            for r, places in split(held.codes, kind, ranges, low.value):
                 codes = held.codes[places]
                 for c, v in zip(out, (r, kind, len(places), _zip(np.diff(codes, prepend=np.uint64(0))), _zip(held.counts[places].astype("<u4"))), strict=True):
                     out[c].append(v)
@@ -287,7 +334,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
         def values_of(kind: str, codes: np.ndarray, as_: str) -> np.ndarray:
             out = np.zeros(len(codes))
-            for r, places in split(codes, kind, ranges):
+            for r, places in split(codes, kind, ranges, low.value):
                 out[places] = _unzip(*sent[kind, r], as_)
             return out
 

@@ -12,7 +12,11 @@ from siftwell.llm import boosting, fingerprint, ppm, toxicity
 ROWS = [(i, t) for i, t in enumerate(["", None, "a", "the cat sat on the mat", "the cat sat on the mat", "Der Übermut\ttut\n selten gut", "x" * 3000, "zz\x00zz", "one two three " * 200])] + [(None, "no id"), (3, "id again")]
 
 
-def test_ppm_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 3, ppm.HOT])
+def test_ppm_equals_brute_force(spark, monkeypatch, most):
+    tables = ppm.low_orders
+    met = []
+    monkeypatch.setattr(ppm, "low_orders", lambda *a: met.append(tables(*a, most)) or met[-1])
     rng = random.Random(2)
     rows = ROWS + [(100 + i, " ".join(rng.choice(["ab", "abc", "bca", "x"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
     learn = lambda d: d is None or d % 4 != 1
@@ -45,11 +49,12 @@ def test_ppm_equals_brute_force(spark):
     def expected(t):
         words, sym = [*(t or "").encode().lower().split(), None], ppm.symbols(t).tolist()
         base = sum(math.log10((tokens[w] + 1) / (total + distinct + 1)) for w in words)
-        return len(words), sum(w in tokens for w in words), total, round(base, 6), round(sum(logp(sym[j - ppm.ORDER : j], sym[j]) for j in range(ppm.ORDER, len(sym))), 2)
+        return len(words), sum(w in tokens for w in words), total, round(base, 6), round(sum(logp(sym[j - ppm.ORDER : j], sym[j]) for j in range(ppm.ORDER, len(sym))), 6)
 
     key = lambda r: tuple(-1 if x is None else x for x in r)
-    assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 2)) for r in got), key=key) == sorted(((d, *expected(t)) for d, t in rows), key=key)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got), key=key) == sorted(((d, *expected(t)) for d, t in rows), key=key)
     assert sum(10 ** logp([0] * ppm.ORDER, s) for s in range(257)) == pytest.approx(1)
+    assert np.count_nonzero(met[0].place >= 0) == min(most, 3) if most < 4 else np.count_nonzero(met[0].place >= 0) > 3
     assert ppm.score(df.limit(0), F.lit(True)).count() == 0
 
 
