@@ -15,7 +15,10 @@ the items were one item's, get no fingerprint; that bound is exact, so nothing i
 
 Words are runs of other than ASCII white space, A-Z lower-cased, without punctuation at their ends. The items are a stated
 query set: they are taken in blocks of at most ITEM_BYTES of text, each broadcast to one pass over the documents. Null
-and empty texts and items match nothing. Repeated items are reported each; repeated rows are judged each.
+and empty texts and items match nothing. Repeated items are reported each; repeated rows are judged each. Of windows that
+match equally well the first counts. A very long text is taken a stretch at a time. Empty tables give an empty result, and
+no documents are dropped without items. contaminations() returns none of the documents' other columns, whatever they are
+called; drop_contaminated() all of them.
 """
 
 from __future__ import annotations

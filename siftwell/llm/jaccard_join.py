@@ -20,7 +20,8 @@ sets are compared.
 
 Everything is written to the shared folder between the steps. Null and empty texts, or texts without words, have the
 empty set, which links with nothing. Equal doc_ids are separate rows; a null doc_id takes part, and a component's id is
-the least doc_id that isn't null in it. Shingles are 64-bit hashes; classes are told apart by a 64-bit hash of the whole set.
+the least doc_id that isn't null in it. A very long text is one set as any other; an empty table gives an empty result;
+other columns aren't returned, but for keep_one(). Shingles are 64-bit hashes; classes are told apart by a 64-bit hash of the whole set.
 """
 
 from __future__ import annotations

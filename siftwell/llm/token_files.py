@@ -12,7 +12,8 @@ hold and how many ids precede each.
 
 Writing: documents are dealt into ranges of doc_id, sorted within each and written by its task through a temporary
 name, then renamed; names depend on the data alone, so a task that runs again replaces its own files. Reading takes
-whole files by Spark's binaryFile source and needs no other order. Null texts are empty; an empty table gives no file.
+whole files by Spark's binaryFile source and needs no other order. Null texts are empty; an empty table gives no file. Other
+columns than key and text aren't read. doc_ids are integers.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ from a third, so that each judges words and margins on rows not used before. Lex
 significantly more toxic documents than its share. The model (lexicons of at most LEXICON entries, trees, steps) is
 bounded and broadcast; scoring is one pass without shuffle.
 
-A null text is scored as the empty one. Rows without a label are not used; of a doc_id labelled repeatedly the largest
-label counts. Without any labels of both kinds every score is the constant rate. Other columns stay as they are.
+A null text is scored as the empty one; a very long one is one row as any other. Rows without a label are not used; of a
+doc_id labelled repeatedly the largest label counts, of one that several rows have the text of the least hash. Repeated
+rows are scored each; an empty table gives an empty result. Without any labels of both kinds every score is the constant rate. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -208,6 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, fits: Column | None = None, key: str
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # a doc_id on several rows counts once, so that no more than `rows` texts are learnt from
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r")).select("doc_id", "r.text", "r.toxic")
     sample = materialise(sample.withColumn("part", F.pmod(F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string")).cast("binary")), F.lit(10))))
     lexicon = mine(sample.filter("part < 4"))
     shared = docs.sparkSession.sparkContext.broadcast(Model(lexicon, Trees(0), Isotonic(np.zeros(1), np.zeros(1))))
