@@ -2,6 +2,10 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
 Parquet into the shared folder and reads again for the next. All but the last return the columns of documents.
+
+Null texts count as empty ones and, like texts without words, stay to the end. Of repeated rows, and of rows with equal
+texts, one stays; rows with a null doc_id are chosen from by themselves. Other columns, whatever their names, stay until the
+last stage, which replaces the text and columns named n_tokens and ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
