@@ -21,7 +21,9 @@ sets are compared.
 Everything is written to the shared folder between the steps. Null and empty texts, or texts without words, have the
 empty set, which links with nothing. Equal doc_ids are separate rows; a null doc_id takes part, and a component's id is
 the least doc_id that isn't null in it. A very long text is one set as any other; an empty table gives an empty result;
-other columns aren't returned, but for keep_one(). Shingles are 64-bit hashes; classes are told apart by a 64-bit hash of the whole set.
+other columns aren't returned, but for keep_one(). Shingles are 64-bit hashes; classes are told
+apart by a 128-bit hash of the whole set: half of it names a class, and the few classes that share that half (a handful
+in ten thousand million) are named by the other half.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ SMALL, BLOCK = 64, 1024
 #: Rows of prefix shingles that are listed together.
 RANGE_ROWS = 50_000
 LEVELS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+#: Bits of a class's name, fewer in tests.
+CLASS_BITS = 64
 _POSTING = np.dtype([("token", "<u8"), ("kid", "<i8"), ("n", "<u4"), ("l", "<u4")])
 
 
@@ -60,8 +64,25 @@ def needed(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
+class ClassNames:
+    """Names of sets: one half of a 128-bit hash, or the other half where several sets share the first."""
+
+    def __init__(self, twins: frozenset[int] = frozenset(), bits: int = 64):
+        self.twins, self.bits = twins, bits
+
+    def halves(self, shingles: np.ndarray) -> tuple[int, int]:
+        h = xxhash.xxh3_128_intdigest(shingles.tobytes())
+        # as signed numbers; the first of fewer bits in tests
+        first, second = h & ((1 << self.bits) - 1), h >> 64
+        return first - (first >> 63 << 64), second - (second >> 63 << 64)
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        first, second = self.halves(shingles)
+        return second if first in self.twins else first
+
+
 def class_id(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+    return ClassNames()(shingles)
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -76,13 +97,14 @@ def _unzip(data: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def signatures(docs: DataFrame, k: int, key: str, text: str, code_bits: int, range_bits: int) -> DataFrame:
-    """One pass: rows (doc_id, n, kid) for the documents, and rows (range, m, codes, counts) of packed shingle counts.
+def signatures(docs: DataFrame, k: int, key: str, text: str, name: ClassNames, code_bits: int, range_bits: int) -> DataFrame:
+    """One pass: rows (doc_id, n, kid, other), with both halves of the set's hash, for the documents, and rows (range, m,
+    codes, counts) of packed shingle counts.
 
     A code is the leading code_bits of a shingle, a range its leading range_bits.
     """
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc_id {kind}, n int, kid bigint, range int, m int, codes binary, counts binary"
+    schema = f"doc_id {kind}, n int, kid bigint, other bigint, range int, m int, codes binary, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -102,17 +124,19 @@ def signatures(docs: DataFrame, k: int, key: str, text: str, code_bits: int, ran
                 rows["codes"].append(_zip(np.diff(part, prepend=np.uint64(0))))
                 rows["counts"].append(_zip(np.minimum(counts[a:b], 2**32 - 1).astype("<u4")))
             n = len(starts)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, batch_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(rows["range"], pa.int32()), pa.array(rows["m"], pa.int32()), pa.array(rows["codes"], pa.binary()), pa.array(rows["counts"], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, batch_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rows["range"], pa.int32()), pa.array(rows["m"], pa.int32()), pa.array(rows["codes"], pa.binary()), pa.array(rows["counts"], pa.binary())], names)
 
-        names = ["doc_id", "n", "kid", "range", "m", "codes", "counts"]
+        names = ["doc_id", "n", "kid", "other", "range", "m", "codes", "counts"]
         batch_type = pa.int64()
         for batch in batches:
             batch_type = batch.column(key).type
-            ns, kids = [], []
+            ns, kids, others = [], [], []
             for value in batch.column(text):
                 s = shingle_set(value.as_py(), k)
                 ns.append(len(s))
-                kids.append(class_id(s) if len(s) else None)
+                first, second = name.halves(s) if len(s) else (None, None)
+                kids.append(first)
+                others.append(second)
                 if len(s):
                     held.append(s)
                     size += len(s)
@@ -120,7 +144,7 @@ def signatures(docs: DataFrame, k: int, key: str, text: str, code_bits: int, ran
                     size = 0
                     yield flush()
             r = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ns, pa.int32()), pa.array(kids, pa.int64()), pa.nulls(r, pa.int32()), pa.nulls(r, pa.int32()), pa.nulls(r, pa.binary()), pa.nulls(r, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ns, pa.int32()), pa.array(kids, pa.int64()), pa.array(others, pa.int64()), pa.nulls(r, pa.int32()), pa.nulls(r, pa.int32()), pa.nulls(r, pa.binary()), pa.nulls(r, pa.binary())], names)
         if held:
             yield flush()
         tidy(shingles._HASHES)
@@ -189,7 +213,7 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, levels: np.ndarray, cod
     return s[order[: base + chosen]], chosen
 
 
-def postings(docs: DataFrame, k: int, text: str, cut: Callable[[np.ndarray], tuple[np.ndarray, int]], range_bits: int) -> DataFrame:
+def postings(docs: DataFrame, k: int, text: str, name: ClassNames, cut: Callable[[np.ndarray], tuple[np.ndarray, int]], range_bits: int) -> DataFrame:
     """Shingles that stand in the prefixes of two classes at least: (token, kid, n, l), a row for each such class, and
     the token's pivot (its least class) with its n and l."""
 
@@ -213,7 +237,7 @@ def postings(docs: DataFrame, k: int, text: str, cut: Callable[[np.ndarray], tup
         for batch in batches:
             for value in batch.column(text):
                 s = shingle_set(value.as_py(), k)
-                if not len(s) or (kid := class_id(s)) in met:
+                if not len(s) or (kid := name(s)) in met:
                     continue
                 if len(met) >= 200_000:
                     met.clear()
@@ -246,7 +270,7 @@ def postings(docs: DataFrame, k: int, text: str, cut: Callable[[np.ndarray], tup
     return packed.groupBy("range").applyInArrow(meet, "token bigint, kid bigint, n int, l int, pivot bigint, pn int, pl int")
 
 
-def sets(docs: DataFrame, wanted: DataFrame, sig: DataFrame, k: int, key: str, text: str) -> DataFrame:
+def sets(docs: DataFrame, wanted: DataFrame, sig: DataFrame, k: int, key: str, text: str, name: ClassNames) -> DataFrame:
     """(kid, shingles) of the wanted classes, each from one of its documents."""
     reps = sig.join(wanted, "kid", "left_semi").groupBy("kid").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     reps = materialise(reps.distinct())
@@ -257,7 +281,7 @@ def sets(docs: DataFrame, wanted: DataFrame, sig: DataFrame, k: int, key: str, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             got = [s for value in batch.column("__text") if len(s := shingle_set(value.as_py(), k))]
-            yield pa.RecordBatch.from_arrays([pa.array(map(class_id, got), pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["kid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(name, got), pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["kid", "shingles"])
         tidy(shingles._HASHES)
 
     return chosen.select("__text").mapInArrow(run, "kid bigint, shingles binary").dropDuplicates(["kid"])
@@ -326,28 +350,36 @@ def _rest(open_rows: DataFrame, percent: int) -> DataFrame:
     return listed.groupBy("a").applyInArrow(count, "a bigint, b bigint")
 
 
-def _start(docs: DataFrame, k: int, percent: int, key: str, text: str, hot: int) -> tuple[DataFrame, DataFrame, Callable[[np.ndarray], tuple[np.ndarray, int]]]:
-    """(doc_id, n, kid) of every document and the shared prefix shingles of postings(), written; and what gives a set's
-    prefix and l on an executor."""
+def _start(docs: DataFrame, k: int, percent: int, key: str, text: str, hot: int) -> tuple[DataFrame, DataFrame, Callable[[np.ndarray], tuple[np.ndarray, int]], ClassNames]:
+    """(doc_id, n, kid) of every document and the shared prefix shingles of postings(), written; what gives a set's
+    prefix and l on an executor; and what names a set's class."""
     size = text_bytes(docs, text)
     range_bits = min(20, max(4, (size // RANGE_BYTES).bit_length()))
     code_bits = min(56, max(30, (size // 6 + 1).bit_length() + 6))
-    first = materialise(signatures(docs, k, key, text, code_bits, range_bits))
-    sig = first.filter("range is null").select("doc_id", "n", "kid")
+    name = ClassNames(bits=CLASS_BITS)
+    first = materialise(signatures(docs, k, key, text, name, code_bits, range_bits))
+    sig = first.filter("range is null").select("doc_id", "n", "kid", "other")
+    halves = sig.filter("n > 0").groupBy("kid").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    # of N classes N * N / 2**65 are expected: none below a thousand million
+    twins = frozenset(r["kid"] for r in halves.filter("least <> most").select("kid").collect())
+    if twins:
+        name = ClassNames(twins, CLASS_BITS)
+        sig = sig.withColumn("kid", F.when(F.col("kid").isin(*twins), F.col("other")).otherwise(F.col("kid")))
+    sig = sig.drop("other")
     frequent = hot_codes(first.filter("range is not null"), code_bits, range_bits, hot)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     cut = lambda s: prefix(s, percent, *shared.value, code_bits)
-    return sig, materialise(postings(docs, k, text, cut, range_bits)), cut
+    return sig, materialise(postings(docs, k, text, name, cut, range_bits)), cut, name
 
 
 def link_classes(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, kid) of every document and (node, root) of every class that links with another."""
-    sig, alive, cut = _start(docs, k, percent, key, text, hot)
+    sig, alive, cut, name = _start(docs, k, percent, key, text, hot)
 
     def checked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs, written, and those that link."""
         pairs = materialise(pairs)
-        held = materialise(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("kid")).distinct(), sig, k, key, text))
+        held = materialise(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("kid")).distinct(), sig, k, key, text, name))
         return pairs, materialise(verify(pairs, held, percent))
 
     tested, links = checked(_counted(alive.filter("kid <> pivot"), percent))
@@ -372,7 +404,7 @@ def link_classes(docs: DataFrame, k: int, percent: int, key: str = "doc_id", tex
             many = rows.select("token", "kid").join(sizes.filter(F.col("m") > SMALL), "token")
             many = materialise(many.groupBy("kid").agg(F.sort_array(F.collect_set("cluster")).alias("clusters"), F.lit(1).cast("long").alias("w")))
             if many.limit(1).count():
-                held = sets(docs, many.select("kid"), sig, k, key, text)
+                held = sets(docs, many.select("kid"), sig, k, key, text, name)
                 found = materialise(_blocks(many, held, percent, cut, False))
                 links = links.union(found.select(F.col("kid").alias("a"), F.explode("tree").alias("b")))
     return sig, components(links)
@@ -389,14 +421,14 @@ def all_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
     of the classes it links with, is to be summed; others holds, where listed, each link in one of its two classes;
     tree holds links that connect the same classes as all do.
     """
-    sig, alive, cut = _start(docs, k, percent, key, text, hot)
+    sig, alive, cut, name = _start(docs, k, percent, key, text, hot)
     copies = materialise(sig.filter("n > 0").groupBy("kid").agg(F.count("*").alias("w")))
     rows = alive.select("token", "kid", "n", "l", F.col("kid").alias("root"))
     sizes = materialise(rows.groupBy("token").agg(F.count("*").alias("m"), F.min("kid").alias("cluster")))
     many = rows.select("token", "kid").join(sizes.filter(F.col("m") > SMALL), "token")
     many = materialise(many.groupBy("kid").agg(F.sort_array(F.collect_set("cluster")).alias("clusters")))
     pairs = materialise(_rest(rows.join(sizes.filter(F.col("m") <= SMALL).select("token"), "token", "left_semi"), percent))
-    held = materialise(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("kid")).distinct(), sig, k, key, text))
+    held = materialise(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("kid")).distinct(), sig, k, key, text, name))
     # pairs of one cluster are found there
     x, y = (many.select(F.col("kid").alias(c), F.col("clusters").alias(f"of_{c}")) for c in "ab")
     apart = verify(pairs, held, percent).join(x, "a", "left").join(y, "b", "left").filter(~F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False)))
@@ -406,7 +438,7 @@ def all_links(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text:
     back = apart.join(copies.withColumnRenamed("kid", "a"), "a").select(F.col("b").alias("kid"), F.col("w").alias("n_links"), none.alias("others"), none.alias("tree"))
     found = there.union(back)
     if many.limit(1).count():
-        held = sets(docs, many.select("kid"), sig, k, key, text)
+        held = sets(docs, many.select("kid"), sig, k, key, text, name)
         found = found.union(materialise(_blocks(many.join(copies, "kid"), held, percent, cut, listed)))
     return sig, found
 

@@ -65,6 +65,15 @@ def test_equals_all_pairs(spark, monkeypatch, k, percent, hot, small):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows, k, percent), key=key)
 
 
+def test_classes_of_one_name_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CLASS_BITS", 3)
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    for got in (jaccard_join.near_duplicates(df, 4, 85), jaccard_join.linked_documents(df, 4, 85).drop("n_links")):
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(brute(rows, 4, 85), key=key)
+
+
 def test_prefixes_of_linking_sets_share_enough():
     rng = np.random.default_rng(1)
     hot = np.sort(rng.integers(0, 2**40, 50).astype(np.uint64))
