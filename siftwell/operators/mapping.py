@@ -21,9 +21,9 @@ def source_scores(sources: DataFrame, destination: DataFrame, destination_ref: s
     """(ref, src_idx, score): fields that the destination has too; the source of the destination's own name leads."""
     wanted = destination.select(F.lower("name").alias("k")).distinct()
     shared = sources.join(wanted, F.lower("name") == F.col("k"), "left").groupBy("ref", "src_idx").agg(F.count("k").alias("score"))
-    fields = destination.agg((F.count("*") + 1).alias("lead"))
+    lead = destination.agg((F.count("*") + 1).alias("lead")).scalar()
     own = F.col("ref") == F.lit(destination_ref)
-    return shared.join(F.broadcast(fields), F.lit(True)).select("ref", "src_idx", F.when(own, F.col("lead")).otherwise(F.col("score")).alias("score"))
+    return shared.select("ref", "src_idx", F.when(own, lead).otherwise(F.col("score")).alias("score"))
 
 
 def suggest(sources: DataFrame, destination: DataFrame, destination_ref: str) -> DataFrame:

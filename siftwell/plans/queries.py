@@ -145,6 +145,15 @@ def header_detect(spark, sf_dir):
     return rows.select("n_nationkey", *(cells.has_header(F.col(c)).alias(c) for c in ("numbers", "names", "dates")), cells.is_empty_row(F.col("dates")).alias("empty_row"))
 
 
+_HEADER_SQL = r"""
+WITH r AS (SELECT n_nationkey, [cast(n_nationkey AS varchar), ' '] AS numbers, [n_name, cast(n_regionkey AS varchar)] AS names, ['2024-01-05', ''] AS dates FROM nation),
+c AS (SELECT n_nationkey, 'numbers' AS k, unnest(numbers) AS v FROM r UNION ALL SELECT n_nationkey, 'names', unnest(names) FROM r UNION ALL SELECT n_nationkey, 'dates', unnest(dates) FROM r),
+w AS (SELECT n_nationkey, k, trim(v) = '' AS blank, trim(v) <> '' AND try_cast(v AS double) IS NULL AS word FROM c)
+SELECT n_nationkey, bool_or(word) FILTER (WHERE k = 'numbers') AS numbers, bool_or(word) FILTER (WHERE k = 'names') AS names,
+       bool_or(word) FILTER (WHERE k = 'dates') AS dates, bool_and(blank) FILTER (WHERE k = 'dates') AS empty_row FROM w GROUP BY n_nationkey
+"""
+
+
 def json_field_profile_events_props(spark, sf_dir):
     rows = json.dense_index(read(spark, sf_dir, "events").select(F.try_parse_json("props").alias("v")))
     return json.json_profile(rows).select("field", "data_type", "total_count", "null_count", "null_percentage", "min_value", "max_value")
@@ -158,10 +167,10 @@ SELECT 'k' AS field, 'numeric' AS data_type, count(*) AS total_count, count(*) -
 
 def json_first_seen_totals(spark, sf_dir):
     """Objects whose keys come and go: totals count from the first row that has the key."""
-    d = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey").orderBy("o_orderkey").coalesce(1)
+    d = json.key_index(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), "o_orderkey")
     late = F.when(F.col("o_orderkey") > 500, F.to_json(F.struct(F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"))))
     mixed = F.when(F.col("o_orderkey") % 7 == 0, F.lit('{"c":"text","n":null}')).otherwise(F.to_json(F.struct(F.col("o_custkey").alias("c"))))
-    rows = json.dense_index(d.select(F.try_parse_json(F.coalesce(late, mixed)).alias("v")))
+    rows = d.select("idx", F.try_parse_json(F.coalesce(late, mixed)).alias("v"))
     return json.json_profile(rows).select("field", "data_type", "total_count", "null_count")
 
 
@@ -339,7 +348,14 @@ def normalize_pg_types(spark, sf_dir):
     return names.select("name", types.normalize_database_type(F.col("name")).alias("data_type"))
 
 
-_TYPES_SQL = _rows_sql("name, data_type", [*types.DATABASE_TYPES.items(), ("character varying(255)", "varchar"), ("numeric(10,2)", "numeric"), ("ARRAY", "ARRAY"), ("time without time zone", "time without time zone")])
+# Contract types of database type names.
+_TYPES_SQL = """
+SELECT * FROM (VALUES ('integer', 'integer'), ('int', 'integer'), ('int4', 'integer'), ('bigint', 'bigint'), ('int8', 'bigint'), ('smallint', 'smallint'), ('int2', 'smallint'),
+  ('text', 'text'), ('character varying', 'varchar'), ('varchar', 'varchar'), ('character', 'char'), ('char', 'char'), ('boolean', 'boolean'), ('bool', 'boolean'),
+  ('date', 'date'), ('timestamp', 'timestamp'), ('timestamp without time zone', 'timestamp'), ('timestamp with time zone', 'timestamptz'), ('timestamptz', 'timestamptz'),
+  ('numeric', 'numeric'), ('decimal', 'numeric'), ('real', 'real'), ('double precision', 'double'), ('json', 'json'), ('jsonb', 'jsonb'), ('uuid', 'uuid'), ('bytea', 'bytea'),
+  ('character varying(255)', 'varchar'), ('numeric(10,2)', 'numeric'), ('ARRAY', 'ARRAY'), ('time without time zone', 'time without time zone')) AS t(name, data_type)
+"""
 _API_PAIRS = [("integer", "int64", "integer", "integer"), ("string", "date-time", "timestamptz", "date-time"), ("number", "", "numeric", "numeric"), ("string", "uuid", "uuid", "uuid"), ("object", "", "jsonb", "jsonb"), ("", "custom", "custom", "custom"), ("", "", "text", "text"), ("string", "byte", "bytea", "byte"), ("boolean", "", "boolean", "boolean"), ("integer", "int8", "integer", "bigint")]
 
 
@@ -397,7 +413,7 @@ _ALL = {
     "capped_distinct_customer": (capped_distinct_customer, _CAPPED_SQL),
     "classify_cells_mixed": (classify_cells_mixed, _CLASSIFY_SQL),
     "parse_numeric_locale": (parse_numeric_locale, _PARSE_SQL),
-    "header_detect": (header_detect, "SELECT n_nationkey, FALSE AS numbers, TRUE AS names, TRUE AS dates, FALSE AS empty_row FROM nation"),
+    "header_detect": (header_detect, _HEADER_SQL),
     "json_field_profile_events_props": (json_field_profile_events_props, _PROPS_SQL),
     "json_first_seen_totals": (json_first_seen_totals, _FIRST_SQL),
     "ndjson_bad_lines": (ndjson_bad_lines, _BAD_SQL),

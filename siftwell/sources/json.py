@@ -8,6 +8,7 @@ from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions import cells
@@ -67,6 +68,16 @@ def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
     return numbered.withColumn(name, start + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
 
 
+def key_index(df: DataFrame, key: str, name: str = "idx", bits: int = 12) -> DataFrame:
+    """Numbers from 0 in ascending order of an integer key that has no repeats: within ranges of 2**bits keys, then by
+    what the ranges before hold. No task sorts more than a range's rows; one sums a row for each range."""
+    at = F.shiftright(key, bits)
+    ranges = df.groupBy(at.alias("__range")).agg(F.count("*").alias("__held"))
+    ranges = ranges.select("__range", (F.sum("__held").over(W.orderBy("__range")) - F.col("__held")).alias("__before"))
+    within = df.withColumn("__range", at).withColumn("__within", F.row_number().over(W.partitionBy("__range").orderBy(key)) - 1)
+    return within.join(ranges, "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__before", "__within")
+
+
 def parsed_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """(line_idx, v, bad) for the lines that aren't blank; bad: neither an object nor null."""
     text = cells.trimmed(F.regexp_replace(F.col(line), r"\A\x{FEFF}", ""))

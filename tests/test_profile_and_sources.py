@@ -184,3 +184,11 @@ def test_catalog_and_missing_table(spark):
         tables.one_table(held, "public", "b")
     first = tables.table_profile(spark.range(100).orderBy("id", ascending=False), ProfileOptions(sample_size=10)).first()
     assert (first["min_value"], first["max_value"]) == ("0", "9")
+
+
+def test_key_index_is_dense_in_key_order(spark):
+    keys = [-5, 0, 3, 4095, 4096, 5000, 1 << 40, 7]
+    df = spark.createDataFrame([(k, f"r{k}") for k in keys], "k long, t string").repartition(3)
+    got = {r["k"]: r["idx"] for r in J.key_index(df, "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    assert J.key_index(df.filter("false"), "k").count() == 0
