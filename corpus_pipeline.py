@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import bpe, decontaminate, jaccard_join, toxicity
-from siftwell.llm.common import materialise, table
+from siftwell.llm.common import discard, materialise, table, work_dir
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        at = work_dir(spark)
+        docs = materialise(stage(spark, docs, sf_dir), at)
+        if last:  # what the stage before wrote; never the input
+            discard(spark, last)
+        last = at
     return docs

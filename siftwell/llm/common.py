@@ -39,6 +39,13 @@ def materialise(df: DataFrame, at: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """While it lasts, what is run takes batches of at most so many rows to Python, for rows that hold long texts."""

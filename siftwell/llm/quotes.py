@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialise, table
+from siftwell.llm.common import discard, materialise, table, work_dir
 
 _MARKS = r"\A[ \t]*(?:>[ \t]?)+"
 #: Stand between passages while they are put together, and count as blanks in comparisons.
@@ -95,12 +95,16 @@ def replies(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> Dat
 
 
 def chains(found: DataFrame) -> DataFrame:
-    """(conv_id, turn, root, depth) of the messages that reply, by pointer doubling."""
-    at = materialise(found.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth")))
+    """(conv_id, turn, root, depth) of the messages that reply, by pointer doubling; a round's table goes after the next."""
+    spark = found.sparkSession
+    folder = work_dir(spark)
+    at = materialise(found.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth")), folder)
     while True:
         up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
         met = at.join(up, ["conv_id", "root"], "left")
-        new = materialise(met.select("conv_id", "turn", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")))
+        last, folder = folder, work_dir(spark)
+        new = materialise(met.select("conv_id", "turn", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")), folder)
+        discard(spark, last)
         at = new.drop("moved")
         if not new.filter("moved").limit(1).count():
             return at

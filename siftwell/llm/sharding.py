@@ -12,7 +12,8 @@ in expectation, and neither texts nor arcs come together in one task. Only the c
 vnodes, independent of the data) reach the driver, which walks the ring.
 
 Null keys share one ring position, as do repeated keys; such rows are told apart by checksum and size and
-spread over sub-cells. Null texts have size 1. An empty table gives an empty result.
+spread over sub-cells: SUBCELLS for a key, and for the null key as many times that as the table has cells, since
+it may hold any share of the rows. Null texts have size 1. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,7 +104,8 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", s
     bits = min(RING_BITS, max(10, (total // CELL_ROWS).bit_length() + 1))
     # the arc that wraps around the ring starts at its own point: its positions below the first point come last
     rows = rows.withColumn("turn", (F.col("position") < F.lit(points[0][0])).cast("int"))
-    rows = rows.withColumn("cell", F.struct("turn", F.shiftright("position", RING_BITS - bits).alias("at"), F.pmod("text_crc32", F.lit(SUBCELLS)).alias("sub")))
+    subcells = F.when(F.col(key).isNull(), SUBCELLS * max(1, total // CELL_ROWS)).otherwise(SUBCELLS)
+    rows = rows.withColumn("cell", F.struct("turn", F.shiftright("position", RING_BITS - bits).alias("at"), F.pmod("text_crc32", subcells).alias("sub")))
     numbered = rows.withColumn("within", F.row_number().over(W.partitionBy("arc", "cell").orderBy("position", F.col(key).asc_nulls_first(), "text_crc32", "size")).cast("long") - 1)
     cells = rows.groupBy("arc", "cell").count()
     cells = cells.withColumn("before", F.sum("count").over(W.partitionBy("arc").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("count"))
