@@ -104,6 +104,16 @@ def test_components_of_a_chain(spark):
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in (99, 100, 101)} == {99}
 
 
+def test_components_leave_one_table(spark, monkeypatch, tmp_path):
+    """Rounds are deleted, and the result can be read again and again."""
+    made = []
+    monkeypatch.setattr(components, "work_dir", lambda _: made.append(f"file://{tmp_path}/{len(made)}") or made[-1])
+    found = components.components(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(7, 7)], "a long, b long"))
+    assert len(made) > 3 and [p.name for p in tmp_path.iterdir()] == [made[-1].rsplit("/", 1)[1]]
+    assert found.count() == 21 == found.filter("root = 0").count()
+    assert components.components(found.limit(0).selectExpr("node as a", "root as b")).count() == 0
+
+
 def windows(text, item, weights, rare, k, percent):
     """Best weighted similarity of the item with any window of its size, if it reaches the threshold."""
     words = lambda t: [w.strip(decontaminate._EDGE) or w for w in (t or "").encode().lower().split()]

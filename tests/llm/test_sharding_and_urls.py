@@ -115,3 +115,15 @@ def test_ring_equals_a_walk_row_by_row(spark, shards, slack):
             arc = (arc + 1) % len(points)
         put(h, points[arc][1])
     assert got == sorted(placed)
+
+
+def test_rows_of_the_null_key_are_spread_over_more_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 8)
+    rows = [(None, f"text {i}") for i in range(300)] + [(None, "same")] * 5 + [(i, "t") for i in range(96)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).collect()
+    assert sorted((str(r["doc_id"]), r["text_crc32"]) for r in got) == sorted((str(d), zlib.crc32(t.encode())) for d, t in rows)
+    slots: dict = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len(slots) == 8 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
