@@ -4,29 +4,42 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
 SNIFF_BYTES = 8192
 
 
-def head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
-    """The first bytes of a file (of a folder: of its first file), without reading the rest."""
+def heads(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> Iterator[bytes]:
+    """The bytes of a file, or of each file of a folder in the order of their names, in pieces of at most `size`; the first
+    piece of a file is `size` long if the file is. What isn't asked for isn't read. Files without bytes give nothing."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at):
         raise FileNotFoundError(path)
-    if fs.getFileStatus(at).isDirectory():
-        inside = sorted(str(f.getPath()) for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
-        if not inside:
+    files = [fs.getFileStatus(at)]
+    if files[0].isDirectory():
+        files = sorted((f for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=lambda f: str(f.getPath()))
+        if not files:
             raise FileNotFoundError(path)
-        at = jvm.org.apache.hadoop.fs.Path(inside[0])
-    stream = fs.open(at)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, fs.getFileStatus(at).getLen())))
-    finally:
-        stream.close()
+    for f in files:
+        left = f.getLen()
+        if left:
+            stream = fs.open(f.getPath())
+            try:
+                while left:
+                    piece = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, left)))
+                    left -= len(piece)
+                    yield piece
+            finally:
+                stream.close()
+
+
+def head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
+    """The first bytes of a file (of a folder: of its first file that has any), without reading the rest."""
+    return next(heads(spark, path, size), b"")
 
 
 def scratch(spark: SparkSession) -> str:

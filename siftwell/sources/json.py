@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import cells
 from siftwell.operators.profile import top_values, tracked
 from siftwell.options import ProfileOptions
-from siftwell.sources.files import head
+from siftwell.sources.files import heads
 
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
@@ -87,7 +87,9 @@ def parsed_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def array_elements(text: str) -> Iterator[tuple[str | None, str | None]]:
-    """(element, None) up to the first that is no object, then (None, what is wrong with that one)."""
+    """(element, None) up to the first that is no object, then (None, what is wrong with that one). Nothing for a blank text."""
+    if not text.strip("\ufeff \t\r\n"):
+        return
     decoder, at, n = json.JSONDecoder(), text.index("[") + 1, 0
     while True:
         while at < len(text) and text[at] in " \t\r\n,":
@@ -158,7 +160,7 @@ def json_profile(rows: DataFrame, options: ProfileOptions = ProfileOptions()) ->
 
 def analyze_json(spark: SparkSession, path: str, options: ProfileOptions = ProfileOptions()) -> dict:
     """The source contract of a JSON array or NDJSON file."""
-    kind = detect_format(head(spark, path))
+    kind = detect_format(next((x for x in heads(spark, path) if x.removeprefix(b"\xef\xbb\xbf").lstrip(b" \t\r\n")), b""))
     was = spark.conf.get(DUPLICATE_KEYS, "false")
     spark.conf.set(DUPLICATE_KEYS, "true")
     try:

@@ -192,3 +192,35 @@ def test_key_index_is_dense_in_key_order(spark):
     got = {r["k"]: r["idx"] for r in J.key_index(df, "k").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
     assert J.key_index(df.filter("false"), "k").count() == 0
+
+
+def test_folders_whose_first_files_hold_nothing(spark, tmp_path):
+    for name, rest in (("n", ['{"a":1}\n', '{bad\n{"a":2}\n']), ("j", ['[{"a":1}]', '[{"a":2},7]']), ("c", ["a,b\n1,2\n", "a,b\n3,4\n"])):
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(["", "" if name == "c" else " \t\r\n" * 5000, *rest]):
+            write(tmp_path / name, f"part-{i}", text)
+    for name, kind in (("n", "ndjson"), ("j", "json")):
+        c = J.analyze_json(spark, str(tmp_path / name))
+        assert (c["source_format"], c["total_rows"], len(c["issues"])) == (kind, 2, 1)
+    c = csv.analyze_csv(spark, str(tmp_path / "c"))
+    assert (c["total_rows"], [f["name"] for f in c["fields"]], c["delimiter"]) == (2, ["a", "b"], ",")
+    (tmp_path / "none").mkdir()
+    write(tmp_path / "none", "part-0", "")
+    with pytest.raises(ValueError, match="empty input"):
+        J.analyze_json(spark, str(tmp_path / "none"))
+
+
+def test_ndjson_query_whose_first_partition_is_empty(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from siftwell.plans import contracts
+
+    rows = spark.range(40).select(F.col("id").alias("event_id"), F.lit("x").alias("event_type"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")  # the one row group lies in a later split than the first
+    try:
+        got = {r["field"]: (r["total_rows"], r["n_issues"]) for r in contracts.ndjson_contract_events(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == dict.fromkeys(("id", "tiny", "some", "big"), (28, 8))
