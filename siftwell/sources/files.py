@@ -61,3 +61,9 @@ def put(spark: SparkSession, path: str, data: bytes) -> str:
     finally:
         out.close()
     return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch(), if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import cells
 from siftwell.operators.profile import top_values, tracked
 from siftwell.options import ProfileOptions
-from siftwell.sources.files import heads
+from siftwell.sources.files import heads, remove, scratch
 
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
@@ -26,40 +26,31 @@ def detect_format(data: bytes) -> str:
     return "json" if lead == b"[" else "ndjson"
 
 
-def kind_of(v: Column) -> Column:
-    """Type of a variant in the vocabulary of JSON contracts."""
-    s = F.schema_of_variant(v)
-    return F.when(v.isNull() | (s == "VOID"), "null").when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("numeric")
-
-
 def number_text(d: Column) -> Column:
     """A double as contracts show it: whole numbers in full, others by their shortest digits, with an exponent below
     0.0001 and from a million on (1e-07, 1.23456785e+07). Whole numbers from 2**63 on may differ in their last digits."""
-    whole = F.when(F.abs(d) < 9.2e18, d.cast("bigint").cast("string")).otherwise(F.format_string("%.0f", d))
-    shown = F.abs(d).cast("string")
-    part = lambda i: F.regexp_extract(shown, r"\A(\d+)\.(\d+)(?:E(-?\d+))?\z", i)
-    zeros = F.length(part(2)) - F.length(F.regexp_replace(part(2), r"\A0+", ""))
-    power = F.when(part(3) != "", part(3).cast("int")).when(part(1) == "0", -zeros - 1).otherwise(F.length(part(1)) - 1)
-    digits = F.regexp_replace(F.concat(part(1), part(2)), r"\A0+|0+\z", "")
+    size = F.abs(d)
+    whole = F.when(size < 9.2e18, d.cast("bigint").cast("string")).otherwise(F.format_string("%.0f", d))
+    # what is left is below 0.001, with an exponent, or from a million on, with or without one
+    shown = size.cast("string")
+    mantissa = F.substring_index(shown, "E", 1)
+    before, after = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    power = F.when(F.contains(shown, F.lit("E")), F.substring_index(shown, "E", -1).cast("int")).otherwise(F.length(before) - 1)
+    digits = F.rtrim(F.concat(before, after), F.lit("0"))
     tail = F.substring(digits, 2, 400)
-    powered = F.concat(F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    plain = F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, F.lit(400)))
-    text = F.when((power < -4) | (power >= 6), powered).when(power < 0, small).otherwise(plain)
-    return F.when(d == F.rint(d), whole).otherwise(F.concat(F.when(d < 0, "-").otherwise(""), text))
-
-
-def value_text(v: Column) -> Column:
-    """Texts as they are, numbers by number_text(), nested values as JSON."""
-    kind = kind_of(v)
-    return F.when(kind.isin("object", "array"), F.to_json(v)).when(kind == "numeric", number_text(F.try_variant_get(v, "$", "double"))).otherwise(F.try_variant_get(v, "$", "string"))
+    powered = F.concat(F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    small = F.concat(F.lit("0.000"), digits)
+    text = F.when((size >= 0.0001) & (size < 0.001), small).otherwise(powered)
+    # from 0.001 to a million a double's own text is the one that is asked for
+    return F.when(d == F.rint(d), whole).when((size >= 0.001) & (size < 1e6), d.cast("string")).otherwise(F.concat(F.when(d < 0, "-").otherwise(""), text))
 
 
-def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
-    """Numbers from 0 in the order of the partitions. Only the partitions' sizes come to the driver."""
+def dense_index(df: DataFrame, name: str = "idx", sizes: dict[int, int] | None = None) -> DataFrame:
+    """Numbers from 0 in the order of the partitions. Only the partitions' sizes come to the driver, unless they are given."""
     numbered = df.withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
-    sizes = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    if sizes is None:
+        sizes = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, starts = 0, []
     for p in range(max(sizes, default=-1) + 1):
         starts.append(before)
@@ -79,11 +70,12 @@ def key_index(df: DataFrame, key: str, name: str = "idx", bits: int = 12) -> Dat
 
 
 def parsed_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(line_idx, v, bad) for the lines that aren't blank; bad: neither an object nor null."""
-    text = cells.trimmed(F.regexp_replace(F.col(line), r"\A\x{FEFF}", ""))
-    rows = lines.select(F.monotonically_increasing_id().alias("line_idx"), text.alias("text")).filter(text != "")
-    v = F.try_parse_json("text")
-    return rows.select("line_idx", v.alias("v"), (v.isNull() | ~kind_of(v).isin("object", "null")).alias("bad"))
+    """(line_idx, v, bad) for the lines that aren't blank; bad: neither an object nor null, and v is null."""
+    rows = lines.select(cells.trimmed(F.regexp_replace(F.col(line), r"\A\x{FEFF}", "")).alias("text"))
+    # beside the index, which no filter passes, each line is parsed once; its first character tells what it can be
+    v = F.when(F.substring("text", 1, 1).isin("{", "n"), F.try_parse_json("text"))
+    rows = rows.select(F.monotonically_increasing_id().alias("line_idx"), v.alias("v"), (F.col("text") == "").alias("blank"))
+    return rows.filter("not blank").select("line_idx", "v", F.col("v").isNull().alias("bad"))
 
 
 def array_elements(text: str) -> Iterator[tuple[str | None, str | None]]:
@@ -128,33 +120,43 @@ def parsed_arrays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def field_cells(rows: DataFrame) -> DataFrame:
-    """(idx, field, kind, value) for every key of the objects in (idx, v); value is null where the key's is."""
-    objects = rows.filter(kind_of(F.col("v")) == "object").select("idx", "v")
-    each = objects.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())) if hasattr(rows.sparkSession, "tvf") else None
-    kind = kind_of(F.col("value"))
-    return each.select("idx", F.col("key").alias("field"), kind.alias("kind"), F.when(kind != "null", value_text(F.col("value"))).alias("value"))
-
-
-def json_profile(rows: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """(idx, field, kind, value) for every key of the objects in (idx, v); value is null where the key's is, texts are as
+    they are, numbers by number_text(), nested values as JSON."""
+    each = rows.select("idx", "v").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())).filter("key is not null")
+    # the JSON of a value is made once, and its first character tells the type
+    each = each.select("idx", F.col("key").alias("field"), F.col("value").alias("x"), F.to_json("value").alias("j"))
+    lead = F.substring("j", 1, 1)
+    kind = F.when(F.col("j").isNull() | (lead == "n"), "null").when(lead == '"', "text").when(lead.isin("t", "f"), "boolean").when(lead == "{", "object").when(lead == "[", "array").otherwise("numeric")
+    each = each.select("idx", "field", "x", "j", kind.alias("kind"))
+    each = each.select("idx", "field", "kind", "j", F.when(F.col("kind") == "text", F.try_variant_get("x", "$", "string")).alias("s"), F.when(F.col("kind") == "numeric", F.try_variant_get("x", "$", "double")).alias("d"))
+    value = F.when(F.col("kind") == "numeric", number_text(F.col("d"))).when(F.col("kind") == "text", F.col("s")).when(F.col("kind") != "null", F.col("j"))
+    return each.select("idx", "field", "kind", value.alias("value"))
+
+
+def json_profile(rows: DataFrame, options: ProfileOptions = ProfileOptions(), n_rows: int | None = None, folder: str | None = None) -> DataFrame:
     """A row for each key: data_type, total_count from the row that first has it, null_count, range, top_values.
 
-    rows: (idx, v) with a dense idx. Missing keys count as null from there on.
+    rows: (idx, v) with a dense idx. Missing keys count as null from there on. n_rows: how many rows there are, where that
+    is known. folder: where to write the grouped values, so that the rows are read once.
     """
-    n_rows = rows.count()
-    one = field_cells(rows)
-    groups = one.groupBy("field", "value", "kind").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
+    n_rows = rows.count() if n_rows is None else n_rows
     ranks = cells.rank_of(F.col("kind"), cells.JSON_TYPES)
+    groups = field_cells(rows).withColumn("rank", ranks).groupBy("field", "value").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("rank").alias("rank"))
+    if folder:
+        groups.write.parquet(folder)
+        groups = rows.sparkSession.read.schema(groups.schema).parquet(folder)
+    # a list among the aggregates, an empty one, keeps minima of texts from being aggregated by sorting, as in profile
+    none = F.size(F.collect_list(F.lit(None).cast("int")))
     stats = groups.groupBy("field").agg(
         F.min("first_idx").alias("first_idx"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("known"),
+        (F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)) + none).alias("known"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
-        F.coalesce(F.max(F.when(F.col("value").isNotNull(), ranks)), F.lit(0)).alias("rank"),
+        F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("rank"))), F.lit(0)).alias("rank"),
     )
     total = F.lit(n_rows).cast("long") - F.col("first_idx")
     stats = stats.select("field", "first_idx", cells.type_of(F.col("rank"), cells.JSON_TYPES).alias("data_type"), total.alias("total_count"), (total - F.col("known")).alias("null_count"), (F.round((total - F.col("known")) / total * 10000) / 100).alias("null_percentage"), "min_value", "max_value")
-    held = groups.groupBy("field", "value").agg(F.sum("n").alias("n"), F.min("first_idx").alias("first_idx"))
-    top = top_values(tracked(held, options.max_tracked), options.top_n).groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("top_values"))
+    top = top_values(tracked(groups.select("field", "value", "n", "first_idx"), options.max_tracked), options.top_n).groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("top_values"))
     return stats.join(top, "field", "left").withColumn("top_values", F.coalesce("top_values", F.expr("cast(array() as array<struct<value:string,count:bigint>>)")))
 
 
@@ -163,24 +165,32 @@ def analyze_json(spark: SparkSession, path: str, options: ProfileOptions = Profi
     kind = detect_format(next((x for x in heads(spark, path) if x.removeprefix(b"\xef\xbb\xbf").lstrip(b" \t\r\n")), b""))
     was = spark.conf.get(DUPLICATE_KEYS, "false")
     spark.conf.set(DUPLICATE_KEYS, "true")
+    folder = scratch(spark)
     try:
         if kind == "json":
             rows, wrong = parsed_arrays(spark, path)
             issues = [r["issue"] for r in wrong.collect()]
             rows = rows.filter(F.col("idx") < options.max_rows) if options.max_rows else rows
+            total = rows.count()
         else:
             lines = parsed_lines(spark.read.option("lineSep", "\n").text(path))
-            bad = dense_index(lines.select("bad"), "place").filter("bad").select("place").orderBy("place")
+            held = lines.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count("v").alias("good")).collect()
+            total = sum(r["good"] for r in held)
+            bad = dense_index(lines.select("bad"), "place", {r["p"]: r["n"] for r in held}).filter("bad").select("place")
+            places = sorted(bad.toArrow().column(0).to_pylist()) if total < sum(r["n"] for r in held) else []
             # a line's number counts the rows before it; lines after the last row that is read aren't looked at
-            numbers = [r["place"] - k + 1 for k, r in enumerate(bad.collect())]
+            numbers = (place - k + 1 for k, place in enumerate(places))
             issues = [f"line {n}: invalid JSON object" for n in numbers if not options.max_rows or n <= options.max_rows]
-            rows = dense_index(lines.filter("not bad").select("v"))
-            rows = rows.filter(F.col("idx") < options.max_rows) if options.max_rows else rows
-        found = sorted(json_profile(rows, options).collect(), key=lambda r: (r["first_idx"], r["field"]))
-        sample = rows.orderBy("idx").limit(options.max_sample_rows).select(F.to_json("v").alias("j")).collect()
-        total = rows.count()
+            rows = dense_index(lines.filter("not bad").select("v"), sizes={r["p"]: r["good"] for r in held})
+            if options.max_rows:
+                rows, total = rows.filter(F.col("idx") < options.max_rows), min(total, options.max_rows)
+        found = sorted(json_profile(rows, options, total, folder).collect(), key=lambda r: (r["first_idx"], r["field"]))
+        shown = rows.select("idx", F.to_json("v").alias("j"))
+        # lines are numbered in the order of the partitions, in which a limit at the end of a plan takes them
+        sample = (shown.orderBy("idx") if kind == "json" else shown).limit(options.max_sample_rows).collect()
     finally:
         spark.conf.set(DUPLICATE_KEYS, was)
+        remove(spark, folder)
     show = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x)
     keys = [r["field"] for r in found]
     fields = [{"name": r["field"], "data_type": r["data_type"], "profile": {c: r[c] for c in ("total_count", "null_count", "null_percentage", "min_value", "max_value")} | {"top_values": [x.asDict() for x in r["top_values"]]}} for r in found]

@@ -224,3 +224,18 @@ def test_ndjson_query_whose_first_partition_is_empty(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert got == dict.fromkeys(("id", "tiny", "some", "big"), (28, 8))
+
+
+def test_ndjson_values_and_sample(spark, tmp_path):
+    numbers = {"0.00099": "0.00099", "-0.00012": "-0.00012", "0.00009": "9e-05", "999999.5": "999999.5", "-1000000.5": "-1.0000005e+06", "9999999.25": "9.99999925e+06", "-0.001": "-0.001", "2.5e-300": "2.5e-300"}
+    n = J.analyze_json(spark, write(tmp_path, "n.ndjson", "".join(f'{{"k{i}":{x}}}\n' for i, x in enumerate(numbers))))
+    assert [f["profile"]["max_value"] for f in n["fields"]] == list(numbers.values())
+    lines = ['{"a":"null","b":true}', "nullx", "\u00a0null\u00a0", '{"a":null,"b":[1, {"c":"x"}]}', '{"a":"{","b":1}', "NaN", "true", '{"a":"1","b":{"q":"\\""}}', '{"a":1}', "-1"]
+    n = J.analyze_json(spark, write(tmp_path, "m.ndjson", "\n".join(lines)), ProfileOptions(max_sample_rows=4))
+    assert n["total_rows"] == 6 and n["issues"] == [f"line {i}: invalid JSON object" for i in (2, 5, 5, 7)]
+    a, b = n["fields"]
+    assert (a["name"], a["data_type"], a["profile"]["null_count"]) == ("a", "text", 2)
+    assert [(x["value"], x["count"]) for x in a["profile"]["top_values"]] == [("1", 2), ("null", 1), ("{", 1)]
+    assert (b["name"], b["data_type"], b["profile"]["null_count"]) == ("b", "object", 2)
+    assert [x["value"] for x in b["profile"]["top_values"]] == ["1", '[1,{"c":"x"}]', "true", '{"q":"\\""}']
+    assert n["sample_data"] == [["null", "true"], ["", ""], ["", '[1, {"c": "x"}]'], ["{", "1"]]
